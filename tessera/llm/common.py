@@ -37,3 +37,26 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def add_columns(df: DataFrame, function, fields: str, reads: list[str]) -> DataFrame:
+    """df with the columns of ``fields`` appended, made batch by batch by
+    ``function(*columns read, as Arrow arrays) -> [Arrow arrays or lists]``.
+    All columns of df pass through unchanged; one of a new column's name gives way."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    new = T._parse_datatype_string(fields)
+    df = df.drop(*new.names)
+    schema = T.StructType(df.schema.fields + new.fields)
+    names, kinds = list(df.columns), [f.type for f in to_arrow_schema(new)]
+    at = [names.index(x) for x in reads]
+
+    def run(batches):
+        for batch in batches:
+            made = function(*[batch.column(i) for i in at])
+            made = [x.cast(k) if isinstance(x, pa.Array) else pa.array(x, type=k) for x, k in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *new.names])
+
+    return df.mapInArrow(run, schema)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import mixing
+from tessera.llm import linededup, mixing
 from tessera.session import table, with_package
 
 
@@ -12,6 +13,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(with_package(spark), sf_dir, "documents")).drop("source", "h")
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources}
+def op7_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
-ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL}
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op7_dedup_lines": op7_dedup_lines}
+
+ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op7_dedup_lines": linededup.ORACLE_SQL}
