@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import linededup, mixing
+from tessera.llm import decontam, linededup, mixing
 from tessera.session import table, with_package
 
 
@@ -13,11 +13,25 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(with_package(spark), sf_dir, "documents")).drop("source", "h")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text")
+    out = decontam.mark(docs, table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op7_dedup_lines": op7_dedup_lines}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_dedup_lines": op7_dedup_lines,
+}
 
-ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op7_dedup_lines": linededup.ORACLE_SQL}
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE_SQL,
+    "op6_decontaminate": decontam.ORACLE_SQL,
+    "op7_dedup_lines": linededup.ORACLE_SQL,
+}
