@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, linededup, mixing, simhash
+from tessera.llm import decontam, langid, linededup, mixing, simhash
 from tessera.session import table, with_package
 
 
@@ -24,6 +24,11 @@ def op7_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.clusters(table(with_package(spark), sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -33,6 +38,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op6_decontaminate": op6_decontaminate,
     "op7_dedup_lines": op7_dedup_lines,
+    "op8_language": op8_language,
     "op9_simhash": op9_simhash,
 }
 
