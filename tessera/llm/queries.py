@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, linededup, mixing, simhash
+from tessera.llm import decontam, langid, linededup, mixing, quality, simhash
 from tessera.session import table, with_package
 
 
@@ -34,12 +34,18 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return quality.judge(docs, table(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op6_decontaminate": op6_decontaminate,
     "op7_dedup_lines": op7_dedup_lines,
     "op8_language": op8_language,
     "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
