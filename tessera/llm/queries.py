@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, linededup, mixing, quality, secrets, simhash
+from tessera.llm import decontam, langid, linededup, mixing, pii, quality, secrets, simhash
 from tessera.llm.spans import PERSONAL, SECRET
 from tessera.session import table, with_package
 
@@ -16,13 +16,18 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """doc_id, found -> a count for each base kind, base_sha256 and spans."""
-    base = F.filter("found", lambda x: x.kind.isin(*kinds))
+    base = F.filter("found", lambda x: x.base)
     name = lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))
     listed = lambda spans: F.array_join(F.transform(spans, name), ",")
-    count = lambda kind: F.size(F.filter("found", lambda x: x.kind == kind)).cast("long")
+    count = lambda kind: F.size(F.filter("found", lambda x: x.base & (x.kind == kind))).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in kinds], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text")
+    return span_digest(pii.scan(docs), PERSONAL)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text")
     return span_digest(secrets.scan(docs), SECRET)
@@ -56,6 +61,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_personal_data": op2_personal_data,
     "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
     "op7_dedup_lines": op7_dedup_lines,

@@ -196,6 +196,6 @@ def secrets(text: str | None) -> list[tuple[int, int, str]]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with found: array of (start, end, kind), code points, end exclusive."""
-    make = lambda texts: [[[{"start": s, "end": e, "kind": k} for s, e, k in secrets(t.as_py())] for t in texts]]
-    return add_columns(docs, make, "found array<struct<start long, end long, kind string>>", ["text"])
+    """docs with found: array of (start, end, kind, base), code points, end exclusive."""
+    make = lambda texts: [[[{"start": s, "end": e, "kind": k, "base": k in SECRET} for s, e, k in secrets(t.as_py())] for t in texts]]
+    return add_columns(docs, make, "found array<struct<start long, end long, kind string, base boolean>>", ["text"])
