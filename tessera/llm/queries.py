@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, langid, linededup, mixing, pii, quality, secrets, simhash, tiff
+from tessera.llm import decontam, html, langid, linededup, mixing, pii, quality, secrets, simhash, tiff
 from tessera.llm.spans import PERSONAL, SECRET
 from tessera.session import table, with_package
 
@@ -28,6 +28,11 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(pii.scan(docs), PERSONAL)
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(with_package(spark), sf_dir, "pages").select("page_id", "url", "html")
+    return html.extract_pages(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host", "path")
+
+
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text")
     return tiff.store_texts(docs).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages")
@@ -67,6 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_personal_data": op2_personal_data,
+    "op3_main_text": op3_main_text,
     "op4_tiff": op4_tiff,
     "op5_secrets": op5_secrets,
     "op6_decontaminate": op6_decontaminate,
