@@ -36,7 +36,7 @@ ORDER, BITS = 4, 12
 SPACE = 32
 MAX_CELLS = 4_000_000
 CALIBRATION_DOCS = 20_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: The gap is this many times that of the farthest calibration texts but one in a thousand,
 #: and at least LEAST_GAP nats a character.
 MARGIN, TAIL, LEAST_GAP = 2.0, 0.999, 1.25
@@ -52,7 +52,7 @@ def code_table() -> np.ndarray:
     if not _codes:
         point = np.arange(TOP)
         letter = np.fromiter((chr(c).isalpha() for c in range(TOP)), bool, TOP)
-        _codes.append(np.where(letter, np.where(point < 2048, point, 2048 + point % 2048), SPACE).astype(np.int64))
+        _codes.append(np.where(letter, np.where(point < 2048, point, 2048 + point % 2048), SPACE).astype(np.uint16))
     return _codes[0]
 
 
@@ -62,19 +62,19 @@ def encode(text: str | None) -> np.ndarray:
     code = code_table()[np.minimum(raw, TOP - 1)]
     blank = code == SPACE
     if blank.all():
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint16)
     keep = np.ones(len(code), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
     keep[0] = not blank[0]
     code = code[keep]
-    return np.concatenate([code, [SPACE]]) if code[-1] != SPACE else code
+    return np.append(code, np.uint16(SPACE)) if code[-1] != SPACE else code
 
 
 def grams(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Packed four-grams ending at each character of each text, and the texts' lengths."""
-    pad = np.full(ORDER - 1, SPACE, np.int64)
+    pad = np.full(ORDER - 1, SPACE, np.uint16)
     size = np.array([len(c) for c in codes], np.int64)
-    flat = np.concatenate([x for c in codes for x in (pad, c)]) if codes else np.zeros(0, np.int64)
+    flat = np.concatenate([x for c in codes for x in (pad, c)]) if codes else np.zeros(0, np.uint16)
     n = max(0, len(flat) - ORDER + 1)
     out = np.zeros(n, np.int64)
     for k in range(ORDER):
@@ -143,6 +143,19 @@ def lookup(keys: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == query, at, -1)
 
 
+class TextsOf:
+    """An Arrow column of strings, made Python strings one at a time."""
+
+    def __init__(self, column: pa.Array):
+        self.column = column
+
+    def __len__(self):
+        return len(self.column)
+
+    def __iter__(self):
+        return (x.as_py() for x in self.column)
+
+
 @dataclass
 class Model:
     """For order k: ``keys[k]`` sorted packed grams, ``logp[k]`` a row each; for their
@@ -210,29 +223,34 @@ class Model:
 
     def entropies(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy (nats a character) of each text in each language, and lengths."""
-        codes = [encode(t) for t in texts]
-        out, size = np.zeros((len(texts), len(self.langs))), np.array([len(c) for c in codes], np.int64)
-        k = 0
-        while k < len(codes):
-            j, total = k, 0
-            while j < len(codes) and (j == k or total + size[j] <= CHUNK):
-                total += size[j]
-                j += 1
-            query, _ = grams(codes[k:j])
-            own = np.flatnonzero(size[k:j]) + k
-            begin = np.concatenate([[0], np.cumsum(size[own])[:-1]]) if len(own) else own
-            # a long text is summed piece by piece
-            sums = np.zeros((len(query) // CHUNK + 1, len(own), len(self.langs)))
-            for piece in range(0, len(query), CHUNK):
-                logs = self.logs(query[piece : piece + CHUNK]).astype(np.float64)
-                in_ = np.searchsorted(begin, np.arange(piece, piece + len(logs)), "right") - 1
-                starts = np.flatnonzero(np.concatenate([[True], in_[1:] != in_[:-1]]))
-                sums[piece // CHUNK, in_[starts]] = np.add.reduceat(logs, starts)
-            if len(own):
-                out[own] = -sums.sum(0) / size[own, None]
-            k = j
+        out, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        own: list[int] = []
+        codes: list[np.ndarray] = []
+        for k, text in enumerate(texts):
+            code = encode(text)
+            size[k] = len(code)
+            if len(code):
+                own.append(k)
+                codes.append(code)
+            if size[own].sum() > CHUNK:
+                out[own] = self.sums(codes) / -size[own, None]
+                own, codes = [], []
+        if own:
+            out[own] = self.sums(codes) / -size[own, None]
         return out, size
 
+    def sums(self, codes: list[np.ndarray]) -> np.ndarray:
+        """Log-probability of each text in each language; a long text is summed piece by piece."""
+        query, size = grams(codes)
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        out = np.zeros((len(codes), len(self.langs)))
+        for piece in range(0, len(query), CHUNK):
+            logs = self.logs(query[piece : piece + CHUNK]).astype(np.float64)
+            at = np.searchsorted(begin, np.arange(piece, piece + len(logs)), "right") - 1
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            out[at[starts]] += np.add.reduceat(logs, starts)
+        return out
+
     def predict(self, texts: list):
         """Language, score, cross-entropy, length and rejection of each text."""
         if not self.langs:
@@ -282,10 +300,11 @@ def train(docs: DataFrame) -> Model:
     return model
 
 
-def apply(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, score, entropy, length and rejected."""
+def apply(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score, entropy, length and rejected, each name after the prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return add_columns(docs, lambda texts: sent.value.predict(texts.to_pylist()), "lang_pred string, score double, entropy double, length long, rejected boolean", ["text"])
+    fields = ("lang_pred string", "score double", "entropy double", "length long", "rejected boolean")
+    return add_columns(docs, lambda texts: sent.value.predict(TextsOf(texts)), ", ".join(prefix + f for f in fields), ["text"])
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -296,4 +315,4 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected, with the columns of docs."""
-    return apply(docs.withColumn("_all", F.struct(*docs.columns)).select("_all", "text"), train(docs)).filter(~F.col("rejected")).select("_all.*")
+    return apply(docs, train(docs), "_known_").filter(~F.col("_known_rejected")).select(*docs.columns)
