@@ -90,21 +90,31 @@ class Classifier:
     edges: np.ndarray
     weights: list[np.ndarray]
 
-    def features(self, head: int, found: list[list[str]], shapes: np.ndarray) -> np.ndarray:
-        table = self.words[head]
-        rows = []
-        for words in found:
-            w = np.array([table[x] for x in table.keys() & set(words)]) if table else np.zeros(0)
-            up, down = w[w > 0], w[w < 0]
-            rows.append([min(up.sum(), 20.0) if len(up) else 0.0, max(down.sum(), -20.0) if len(down) else 0.0, float(np.log1p(len(up))), float(np.log1p(len(down)))])
+    def features(self, evidence: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         bins = np.stack([np.searchsorted(e, s, "right") for e, s in zip(self.edges, shapes.T, strict=True)], 1)
         hot = (bins[:, :, None] == np.arange(BINS)).reshape(len(shapes), -1)
-        return np.hstack([np.array(rows).reshape(-1, 4), hot, np.ones((len(shapes), 1))])
+        return np.hstack([evidence, hot, np.ones((len(shapes), 1))])
 
     def log_odds(self, texts: list) -> list[np.ndarray]:
-        found = [words_of(t or "") for t in texts]
-        shapes = np.array([shape(t or "", w) for t, w in zip(texts, found, strict=True)]).reshape(-1, SHAPES)
-        return [np.clip(self.features(h, found, shapes) @ w, -30, 30) if w is not None else np.zeros(len(texts)) for h, w in enumerate(self.weights)]
+        shapes = np.zeros((len(texts), SHAPES))
+        evidence = [np.zeros((len(texts), 4)) for _ in self.words]
+        for k, text in enumerate(texts):
+            text = text.as_py() or ""
+            words = words_of(text)
+            shapes[k] = shape(text, words)
+            for table, row in zip(self.words, evidence, strict=True):
+                row[k] = word_evidence(table, [words])[0]
+        return [np.clip(self.features(e, shapes) @ w, -30, 30) if w is not None else np.zeros(len(texts)) for e, w in zip(evidence, self.weights, strict=True)]
+
+
+def word_evidence(table: dict[str, float], found: list[list[str]]) -> np.ndarray:
+    """Sums (bounded) and log counts of the weights of each text's distinct words, for and against."""
+    rows = []
+    for words in found:
+        w = np.array([table[x] for x in sorted(table.keys() & set(words))])
+        up, down = w[w > 0], w[w < 0]
+        rows.append([min(up.sum(), 20.0), max(down.sum(), -20.0), float(np.log1p(len(up))), float(np.log1p(len(down)))])
+    return np.array(rows).reshape(-1, 4)
 
 
 def clean_labels(labels: DataFrame) -> DataFrame:
@@ -148,21 +158,21 @@ def fit(docs: DataFrame, known: DataFrame) -> Classifier | None:
         top = counts.filter(a + b >= LEAST_DOCS).select("word", w.alias("w"), likelihood_ratio(a, b, n1, n0).alias("g")).filter(F.col("g") >= LEAST_RATIO)
         tables.append({r.word: r.w for r in top.orderBy(F.desc("g"), "word").limit(MOST_WORDS).collect()})
 
-    def shapes_of(texts):
-        found = [words_of(t or "") for t in texts.to_pylist()]
-        heads = [[[w for w in table.keys() & set(x)] for x in found] for table in tables]
-        return [[shape(t or "", w) for t, w in zip(texts.to_pylist(), found, strict=True)], *heads]
+    def features_of(texts):
+        found = [words_of(t.as_py() or "") for t in texts]
+        evidence = [word_evidence(table, found).tolist() for table in tables]
+        return [[shape(t.as_py() or "", w) for t, w in zip(texts, found, strict=True)], *evidence]
 
-    fields = "_shape array<double>, " + ", ".join(f"_words{k} array<string>" for k in range(len(HEADS)))
-    rows = add_columns(sample, shapes_of, fields, ["text"]).drop("text").toPandas()
+    fields = "_shape array<double>, " + ", ".join(f"_words{k} array<double>" for k in range(len(HEADS)))
+    rows = add_columns(sample, features_of, fields, ["text"]).drop("text").toPandas()
     if not len(rows):
         return None
-    shapes = np.array(rows["_shape"].tolist()).reshape(-1, SHAPES)
+    shapes = np.stack(rows["_shape"])
     edges = np.stack([np.quantile(s, np.arange(1, BINS) / BINS) for s in shapes.T])
     out = Classifier(tables, edges, [])
     for k, h in enumerate(HEADS):
         have = rows[f"label_{h}"].notna().to_numpy()
-        x = out.features(k, [list(w) for w in rows[f"_words{k}"][have]], shapes[have])
+        x = out.features(np.stack(rows[f"_words{k}"])[have], shapes[have])
         y = (rows[f"label_{h}"][have].to_numpy() >= 0.5).astype(float)
         out.weights.append(ridge_logistic(x, y) if len(y) else None)
     return out
@@ -205,7 +215,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> Dat
     docs = docs.select("doc_id", "text", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     model = fit(docs, known)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    odds = lambda texts: sent.value.log_odds(texts.to_pylist()) if sent.value else [np.zeros(len(texts))] * len(HEADS)
+    odds = lambda texts: sent.value.log_odds(texts) if sent.value else [np.zeros(len(texts))] * len(HEADS)
     rows = add_columns(docs, odds, ", ".join(f"odds_{h} double" for h in HEADS), ["text"]).drop("text")
     rows = rows.join(known, "doc_id", "left")
     for h in HEADS:
