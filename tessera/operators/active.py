@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 # Weights and limits of the score.
 WEIGHTS = {"uncertainty": 1.0, "lep_quality": 0.8, "rarity": 1.2, "crop_risk": 0.6}
 CONF_LOW, CONF_HIGH, SIGMA_FULL, CROP_RISK_PX = 0.25, 0.70, 12.0, 40.0
@@ -41,26 +43,30 @@ def guidance(frequencies: DataFrame, scarce: int = 10) -> DataFrame:
 def farthest_point(rows: DataFrame, group: str, key: str, vector: str, score: str, k: int) -> DataFrame:
     """Greedy diverse selection per group: start at the highest score (the first key if all
     are zero), then by half the distance to the picked, normalised, and half the score,
-    normalised; of equal merits the first key wins. Adds ``place``. A group is one batch's
-    candidates, which gates and ``capped_top`` have bounded before."""
-    import pandas as pd
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(key, kind="stable").reset_index(drop=True)
-        x = np.stack(part[vector].to_numpy()).astype(np.float64)
-        s = part[score].to_numpy(np.float64)
-        s = s / s.max() if s.max() > 0 else np.zeros(len(s))
-        picked = [int(s.argmax())]
-        near = np.linalg.norm(x - x[picked[0]], axis=1)
-        while len(picked) < min(k, len(part)):
-            merit = 0.5 * (near / near.max() if near.max() > 0 else near) + 0.5 * s
-            merit[picked] = -1
-            picked.append(int(merit.argmax()))
-            near = np.minimum(near, np.linalg.norm(x - x[picked[-1]], axis=1))
-        return pd.DataFrame({group: part[group].iloc[0], key: part[key].to_numpy()[picked], "place": range(1, len(picked) + 1)})
-
-    kinds = dict(rows.dtypes)
-    return rows.select(group, key, vector, score).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {key} {kinds[key]}, place int")
+    normalised; of equal merits the first key wins. Adds ``place``. Every pick is two grouped
+    aggregates over all rows; only the picks, at most k a group, are kept in between."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/tessera-picks-{uuid.uuid4().hex}"
+    top = rows.groupBy(group).agg(F.max(score).alias("_top"))
+    base = rows.select(group, key, F.col(vector).cast("array<double>").alias("_v"), F.col(score).cast("double").alias("_s")).join(top, group)
+    base = base.withColumn("_s", F.when(F.col("_top") > 0, F.col("_s") / F.col("_top")).otherwise(0.0)).drop("_top")
+
+    def best(candidates: DataFrame, merit: Column, place: int) -> DataFrame:
+        first = F.min_by(F.struct(key, "_v"), F.struct(-merit, F.col(key))).alias("_p")
+        return candidates.groupBy(group).agg(first).select(group, F.col(f"_p.{key}").alias(key), F.col("_p._v").alias("_v"), F.lit(place).alias("place"))
+
+    best(base, F.col("_s"), 1).write.parquet(f"{folder}/place=1")
+    schema = f"{group} {dict(rows.dtypes)[group]}, {key} {dict(rows.dtypes)[key]}, _v array<double>"
+    apart = lambda v, w: F.sqrt(F.aggregate(F.zip_with(v, w, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x))
+    for place in range(2, k + 1):
+        seen = spark.read.schema(schema).parquet(*[f"{folder}/place={i}" for i in range(1, place)])
+        picks = seen.groupBy(group).agg(F.collect_list("_v").alias("_ws"), F.collect_list(key).alias("_ks"))
+        left = base.join(picks, group).filter(~F.array_contains("_ks", F.col(key)))
+        left = left.select(group, key, "_v", "_s", F.array_min(F.transform("_ws", lambda w: apart(F.col("_v"), w))).alias("_near"))
+        widest = left.groupBy(group).agg(F.max("_near").alias("_far"))
+        near = F.when(F.col("_far") > 0, F.col("_near") / F.col("_far")).otherwise(F.col("_near"))
+        best(left.join(widest, group), 0.5 * near + 0.5 * F.col("_s"), place).write.parquet(f"{folder}/place={place}")
+    return spark.read.option("basePath", folder).schema(f"{schema}, place int").parquet(folder).drop("_v")
 
 
 def hash_diverse(rows: DataFrame, group: str, key: str, code: str, order: Sequence[Column], n: int, distance: int) -> DataFrame:
@@ -70,14 +76,17 @@ def hash_diverse(rows: DataFrame, group: str, key: str, code: str, order: Sequen
     grouped = rows.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("rows"))
     candidates = F.transform("rows", lambda r: F.struct(r.k.alias("k"), r.c.alias("c")))
     picked = F.filter(candidates, lambda r: F.lit(False))
-    for least in (distance, max(2, distance // 2), 0):
 
-        def step(acc, r, least=least):
+    def step(least: int):
+        def add(acc, r):
             known = F.exists(acc, lambda a: a.k == r.k)
             close = F.exists(acc, lambda a: F.bit_count(a.c.bitwiseXOR(r.c)) < least)
             return F.when((F.size(acc) >= n) | known | close, acc).otherwise(F.concat(acc, F.array(r)))
 
-        grouped = grouped.withColumn("_c", candidates).withColumn("_p", F.aggregate("_c", picked, step))
+        return add
+
+    for least in (distance, max(2, distance // 2), 0):
+        grouped = grouped.withColumn("_c", candidates).withColumn("_p", F.aggregate("_c", picked, step(least)))
         picked = F.col("_p")
     return grouped.select(group, F.posexplode("_p").alias("place", "p")).select(group, F.col("p.k").alias(key), (F.col("place") + 1).alias("place"))
 

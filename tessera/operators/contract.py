@@ -60,6 +60,18 @@ def duplicate_items(rows: DataFrame, key: str, source: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(source).alias("n_sources")).filter("n > 1")
 
 
+def union_named(parts: dict[str, DataFrame], name: str) -> DataFrame:
+    """The rows of all parts, with the part they come from."""
+    return findings(*[rows.withColumn(name, F.lit(part)) for part, rows in parts.items()])
+
+
+def cross_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys of which two sources hold different numbers of rows."""
+    both = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    n = both.groupBy(key).agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    return n.filter(F.col("n_a") != F.col("n_b"))
+
+
 def safety_reasons(class_name: Column, confidence: Column, lep: Column, signed_distance: Column, crop_mask: Column, crop_distance: Column, depth: Column, limits: dict, visibility: Column, targetable: Column, allow_missing_crop: bool = False) -> Column:
     """All reasons against treating a target, in order and once each; none makes a
     candidate. lep: struct(peak, sigma) or null, which ends the list; signed_distance: to

@@ -6,7 +6,7 @@ from collections import deque
 
 import numpy as np
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # ---------------------------------------------------------------- masks
 
@@ -370,3 +370,20 @@ def rle_iou(a, b, height, width):
     import pandas as pd
 
     return pd.Series([mask_iou(rle_decode(list(x), int(h), int(w)), rle_decode(list(y), int(h), int(w))) for x, y, h, w in zip(a, b, height, width, strict=True)], dtype="float64")
+
+
+@F.pandas_udf(StructType([StructField(x, DoubleType()) for x in ("u", "v", "peak")]))
+def heat_point(heat, height, width):
+    """Expected position and peak of a heat map (an array in raster order)."""
+    import pandas as pd
+
+    maps = [np.asarray(a, float).reshape(int(h), int(w)) for a, h, w in zip(heat, height, width, strict=True)]
+    return pd.DataFrame([(*soft_argmax(m), float(m.max())) for m in maps], columns=["u", "v", "peak"])
+
+
+@F.pandas_udf(StringType())
+def picture_hash(grey, height, width):
+    """Perceptual hash of a picture (an array in raster order)."""
+    import pandas as pd
+
+    return pd.Series([perceptual_hash(np.asarray(a, float).reshape(int(h), int(w))) for a, h, w in zip(grey, height, width, strict=True)], dtype="object")

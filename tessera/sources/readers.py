@@ -161,10 +161,10 @@ def flatten_metrics(text: Column, blocks: Sequence[str] = ("overall", "summary")
     parts = [F.from_json(F.get_json_object(text, f"$.{b}"), "map<string,string>") for b in blocks]
     top = F.from_json(text, "map<string,string>")
     numeric = lambda m: F.map_filter(F.transform_values(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
+    without = lambda m, other: F.map_filter(m, lambda k, v: ~F.map_contains_key(other, k))
     out = numeric(top)
-    for p in reversed([numeric(p) for p in parts]):
-        kept = F.map_filter(out, lambda k, v, p=p: ~F.map_contains_key(p, k))
-        out = F.map_concat(kept, p)
+    for part in reversed([numeric(p) for p in parts]):
+        out = F.map_concat(without(out, part), part)
     return out
 
 

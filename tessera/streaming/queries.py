@@ -56,12 +56,14 @@ def gap_stream(rows: DataFrame, group: str, index: str) -> DataFrame:
 
 def windowed_counts(rows: DataFrame, time: str, label: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per tumbling window and label under a watermark."""
-    w = rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), label)
-    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), label, "n", "total")
+    kind = dict(rows.dtypes)[time]
+    w = rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), label)
+    return w.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast(kind).alias("start"), label, "n", "total")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, as a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """All that is there now, appended to a table in ``folder`` beside its checkpoint;
+    started again with the same folder, it goes on where it ended."""
+    query = stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
