@@ -12,16 +12,31 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.schemas import ANNOTATION_EXPORT, CLASSES, COCO, LEDGER, POOL, ROUND, SEG_MANIFEST
 
+MOST_COLUMNS = 128
 SESSION_IN_PATH = r"sessions/([^/]+)/meta/[^/]+$"
 
 
 def read_csv_by_name(spark: SparkSession, path: str, names: Sequence[str], extra: bool = False) -> DataFrame:
-    """A CSV with a header as text columns by name, whatever their order; columns that the
-    file lacks are null, others are kept only if ``extra``. Adds _path."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path).withColumn("_path", F.col("_metadata.file_path"))
-    have = [F.col(n) if n in raw.columns else F.lit(None).cast("string").alias(n) for n in names]
-    more = [F.col(c) for c in raw.columns if c not in names and c != "_path"] if extra else []
-    return raw.select(*have, *more, "_path")
+    """CSV files with headers as text columns by name, whatever the order in each file;
+    columns that a file lacks are null, others are kept only if ``extra``. Adds _path. Files
+    of at most ``MOST_COLUMNS`` columns. Where all headers agree, as they mostly do, rows are
+    projected by constants; else each row meets its file's header in a join."""
+    wide = ", ".join(f"_c{k} string" for k in range(MOST_COLUMNS))
+    raw = spark.read.schema(wide).option("header", False).option("mode", "PERMISSIVE").csv(path)
+    cells = F.array(*[f"_c{k}" for k in range(MOST_COLUMNS)])
+    raw = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), cells.alias("_cells"), F.monotonically_increasing_id().alias("_k"))
+    headers = raw.filter("_start = 0").groupBy("_path").agg(F.min_by("_cells", "_k").alias("_raw"))
+    headers = headers.withColumn("_header", F.transform("_raw", lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))))
+    forms = headers.select("_raw", "_header").distinct().collect()
+    if len(forms) == 1:
+        head = [[F.lit(x).cast("string") for x in forms[0][k]] for k in ("_raw", "_header")]
+        rows = raw.withColumn("_raw", F.array(*head[0])).withColumn("_header", F.array(*head[1]))
+    else:
+        rows = raw.join(headers, "_path")
+    rows = rows.filter(~F.col("_cells").eqNullSafe(F.col("_raw")))
+    others = sorted({x for f in forms for x in f["_header"] if x} - set(names)) if extra else []
+    cell = lambda n: F.get("_cells", (F.array_position("_header", n) - 1).cast("int")).alias(n)
+    return rows.select(*[cell(n) for n in (*names, *others)], "_path")
 
 
 def read_pool(spark: SparkSession, root: str, live_only: bool = True) -> DataFrame:
@@ -59,14 +74,14 @@ def read_capture_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_calibration_text(spark: SparkSession, path: str, keys: Sequence[str] = ("fx", "fy", "cx", "cy")) -> DataFrame:
     """Per file the intrinsics after each key."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("_path", F.col("_metadata.file_path"))
+    text = spark.read.text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
     return text.select("_path", *[F.regexp_extract("value", rf"(?i)\b{k}\b\s*[:=]\s*([-+0-9.eE]+)", 1).try_cast("double").alias(k) for k in keys])
 
 
 def read_calibration_json(spark: SparkSession, path: str) -> DataFrame:
     """Per file the rectified intrinsics, and the ground size of a pixel a metre away."""
     block = "struct<fx: double, fy: double, cx: double, cy: double>"
-    text = spark.read.option("wholetext", True).text(path).withColumn("_path", F.col("_metadata.file_path"))
+    text = spark.read.text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
     doc = text.withColumn("d", F.from_json("value", f"rectified struct<left: {block}>, baseline_mm double"))
     return doc.select("_path", "d.rectified.left.*", "d.baseline_mm", F.try_divide(F.lit(1000.0), F.col("d.rectified.left.fx")).alias("mm_per_px_at_1m"))
 
@@ -85,7 +100,7 @@ def read_session_meta(spark: SparkSession, json_path: str | None, text_path: str
     sides = []
     for priority, path in enumerate((json_path, text_path)):
         if path:
-            raw = spark.read.option("wholetext", True).text(path)
+            raw = spark.read.text(path, wholetext=True)
             parsed = F.from_json("value", "map<string,string>") if priority == 0 else parse_key_values(F.col("value"))
             sides.append(raw.select(F.regexp_extract(F.col("_metadata.file_path"), SESSION_IN_PATH, 1).alias("session_id"), F.lit(priority).alias("priority"), parsed.alias("m")))
     both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
@@ -130,7 +145,7 @@ def read_seg_manifest(spark: SparkSession, path: str) -> DataFrame:
 def sniff_documents(spark: SparkSession, path: str) -> DataFrame:
     """What each JSON file is: annotation export, COCO, segmentation manifest or other, with
     its description's provenance."""
-    text = spark.read.option("wholetext", True).text(path).withColumn("_path", F.col("_metadata.file_path"))
+    text = spark.read.text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
     has = lambda k: F.get_json_object("value", f"$.{k}").isNotNull()
     kind = F.when(has("items"), "annotations").when(has("images") & has("annotations"), "coco").when(has("frames"), "manifest").otherwise("other")
     return text.select("_path", kind.alias("kind"), C.provenance_caveat(F.get_json_object("value", "$.info.description")).alias("provenance"))
