@@ -11,18 +11,28 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 # ---------------------------------------------------------------- masks
 
 
+def mask_encoding(a: np.ndarray) -> str:
+    """What a raw mask's values mean: binary (exact), probability (floats from 0 to 1), logit
+    (negative ones too), or ambiguous."""
+    a = np.asarray(a)
+    finite = a[np.isfinite(a)] if a.dtype.kind == "f" else a
+    if a.dtype == bool or not finite.size:
+        return "binary"
+    if a.dtype.kind in "iu":
+        return "binary" if set(np.unique(finite).tolist()) <= {0, 255} or finite.min() >= 0 and finite.max() <= 1 else "ambiguous"
+    return "logit" if finite.min() < 0 else "probability" if finite.max() <= 1 else "ambiguous"
+
+
 def decode_mask(a: np.ndarray) -> np.ndarray:
-    """A boolean mask from 0/1, 0/255, boolean or float arrays; (1, H, W) loses its first axis."""
+    """A boolean mask of any encoding: probabilities from a half on, logits above zero, else
+    what isn't zero. An axis of length one goes."""
     a = np.asarray(a)
     if a.ndim == 3 and 1 in (a.shape[0], a.shape[2]):
         a = a[0] if a.shape[0] == 1 else a[:, :, 0]
     if a.ndim != 2:
         raise ValueError("a mask has two axes")
-    if a.dtype == bool:
-        return a
-    if np.issubdtype(a.dtype, np.floating):
-        return a > 0.5
-    return a > (127 if a.max(initial=0) > 1 else 0)
+    kind = mask_encoding(a)
+    return a >= 0.5 if kind == "probability" else a > 0 if kind == "logit" else a.astype(bool)
 
 
 def rle_decode(counts: list[int], height: int, width: int) -> np.ndarray:
