@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.windows import numbered
+
 
 def index_percentile(values: Column, share: float, last: bool = True) -> Column:
     """The value at place int(share * (n - 1)), or min(n - 1, int(share * n)) if not
@@ -107,15 +109,27 @@ def operating_point(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     return s.select(*keys, "tp", "fp", "fn", d(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), d(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), d(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
-def calibration(rows: DataFrame, sigma: str, error: str, tie: str, bins: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Bins of equal counts by sigma with mean sigma and error, and the ordinal rank
-    correlation of both (ties by ``tie``; null below five rows)."""
-    fine = rows.filter(~F.isnan(sigma) & ~F.isnan(error) & F.col(sigma).isNotNull() & F.col(error).isNotNull())
-    by = Window.orderBy(sigma, tie)
-    ranked = fine.withColumn("bin", F.ntile(bins).over(by)).withColumn("rs", F.row_number().over(by)).withColumn("re", F.row_number().over(Window.orderBy(error, tie)))
-    binned = ranked.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg(sigma), 6).alias("mean_sigma"), F.round(F.avg(error), 6).alias("mean_error"))
-    rho = ranked.agg(F.count("*").alias("n"), F.round(F.corr("rs", "re"), 6).alias("r")).select("n", F.when(F.col("n") >= 5, F.col("r")).alias("rho"))
-    return binned, rho
+def with_both(rows: DataFrame, sigma: str, error: str) -> DataFrame:
+    return rows.filter(~F.isnan(sigma) & ~F.isnan(error) & F.col(sigma).isNotNull() & F.col(error).isNotNull())
+
+
+def calibration_bins(rows: DataFrame, sigma: str, error: str, tie: str, bins: int = 5) -> DataFrame:
+    """Bins of equal counts by sigma (the first take what is left over) with their means."""
+    ranked = numbered(with_both(rows, sigma, error).select(sigma, error, tie), [sigma, tie], "_k")
+    size = F.floor(F.col("_all") / bins)
+    head = (F.col("_all") % bins) * (size + 1)
+    k = F.col("_k") - 1
+    place = F.when(k < head, F.floor(k / (size + 1))).otherwise(F.col("_all") % bins + F.floor((k - head) / F.greatest(size, F.lit(1)))) + 1
+    ranked = ranked.crossJoin(F.broadcast(ranked.agg(F.count("*").alias("_all")))).withColumn("bin", place.cast("int"))
+    return ranked.groupBy("bin").agg(F.count("*").alias("n"), F.round(F.avg(sigma), 6).alias("mean_sigma"), F.round(F.avg(error), 6).alias("mean_error"))
+
+
+def calibration_rank(rows: DataFrame, sigma: str, error: str, tie: str) -> DataFrame:
+    """The ordinal rank correlation of sigma and error (ties by ``tie``; null below five rows)."""
+    ranked = numbered(with_both(rows, sigma, error).select(sigma, error, tie), [sigma, tie], "_s")
+    ranked = numbered(ranked.select("_s", error, tie), [error, tie], "_e")
+    r = ranked.agg(F.count("*").alias("n"), F.round(F.corr("_s", "_e"), 6).alias("r"))
+    return r.select("n", F.when(F.col("n") >= 5, F.col("r")).alias("rho"))
 
 
 def error_summary(rows: DataFrame, keys: Sequence[str], error: str, radius: str | None = None, within: Sequence[float] = (2, 5, 10, 15), shares: Sequence[float] = (0.1, 0.25, 0.5)) -> DataFrame:

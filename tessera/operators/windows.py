@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 
 def cumulative_position(rows: DataFrame, group: str, order: str, pose: str, shift: str) -> DataFrame:
     """rows with position and forced: the pose where every row of the group has one, else
@@ -36,13 +39,28 @@ def average_precision(dets: DataFrame, truths: DataFrame, keys: Sequence[str], s
     return truths.join(area, keys, "left").select(*keys, "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """rows with ``name``: their place in the order, from 1, ties in any order. No task sees
+    all rows: they are sorted by ranges, written to the shared folder so that places stay,
+    and each range's rows count on from those before it (one number a range is broadcast)."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/tessera-order-{uuid.uuid4().hex}"
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place_row", F.monotonically_increasing_id())
+    ranged.write.parquet(folder)
+    parts = spark.read.schema(ranged.schema).parquet(folder).withColumn("_place_range", F.shiftright("_place_row", 33))
+    earlier = Window.orderBy("_place_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("_place_range").agg(F.count("*").alias("_place_n")).select("_place_range", F.coalesce(F.sum("_place_n").over(earlier), F.lit(0)).alias("_place_before"))
+    place = F.col("_place_before") + F.col("_place_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return parts.join(F.broadcast(offsets), "_place_range").withColumn(name, place).drop("_place_range", "_place_row", "_place_before")
+
+
 def interleave(groups: DataFrame, stratum: str, key: str, size: str, rank: Column) -> DataFrame:
     """groups with ``place``: the first of each stratum by rank, then the second of each;
     strata by falling size, then name."""
     total = F.sum(size).over(Window.partitionBy(stratum))
     turn = F.row_number().over(Window.partitionBy(stratum).orderBy(rank, key))
     out = groups.withColumn("_total", total).withColumn("_turn", turn)
-    return out.withColumn("place", F.row_number().over(Window.orderBy("_turn", F.desc("_total"), stratum, key))).drop("_total", "_turn")
+    return numbered(out, ["_turn", F.desc("_total"), stratum, key], "place").drop("_total", "_turn")
 
 
 def capped_top(rows: DataFrame, group: str, order: Sequence[Column], cap: int, top: int | None = None) -> DataFrame:

@@ -138,7 +138,7 @@ def identity_errors(spark, sf):
 @query(f"""WITH {INSTANCES_SQL}, e AS (SELECT frame, n, cls, score * 100 + 1 AS sigma, l_tax * 50 + score AS error FROM instances),
 r AS (SELECT *, ntile(5) OVER (ORDER BY sigma, frame, n, error) AS bin FROM e) SELECT bin, count(*) AS n, round(avg(sigma), 3) AS mean_sigma, round(avg(error), 3) AS mean_error FROM r GROUP BY bin""")
 def calibration_bins(spark, sf):
-    binned, _ = metrics.calibration(errors(spark, sf), "sigma", "error", "tie")
+    binned = metrics.calibration_bins(errors(spark, sf), "sigma", "error", "tie")
     return binned.select(F.col("bin").cast("long").alias("bin"), "n", F.round("mean_sigma", 3).alias("mean_sigma"), F.round("mean_error", 3).alias("mean_error"))
 
 
@@ -150,7 +150,7 @@ def errors(spark, sf):
 @query(f"""WITH {INSTANCES_SQL}, e AS (SELECT frame, n, score * 100 + 1 AS sigma, l_tax * 50 + score AS error FROM instances), r AS (SELECT row_number() OVER (ORDER BY sigma, frame, n, error) AS a, row_number() OVER (ORDER BY error, frame, n) AS b FROM e)
 SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
 def calibration_rank(spark, sf):
-    return metrics.calibration(errors(spark, sf), "sigma", "error", "tie")[1]
+    return metrics.calibration_rank(errors(spark, sf), "sigma", "error", "tie")
 
 
 @query(f"""WITH {INSTANCES_SQL}, e AS (SELECT cls, l_tax * 50 + score AS error, 2.0::DOUBLE + w / 10 AS radius FROM instances)

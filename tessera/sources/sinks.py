@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import polygon_area, polygon_box, yolo_line
+from tessera.operators.windows import numbered
 
 
 def write_csv(rows: DataFrame, path: str, by: Sequence[str] = (), mode: str = "overwrite") -> None:
@@ -58,7 +59,8 @@ def coco_annotations(instances: DataFrame, image: str, order: str, category: str
         rows = rows.withColumn("_k", F.lit(0))
     rows = rows.withColumn("area", F.aggregate(F.transform("_p", polygon_area), F.lit(0.0), lambda a, x: a + x)).filter("area > 0")
     box = polygon_box(F.flatten("_p"))
-    columns = [F.row_number().over(Window.orderBy(image, order, "_k")).cast("long").alias("id"), F.col(image), F.col(category), "area", F.array(box.x, box.y, box.w, box.h).alias("bbox"), F.col("_p").alias("segmentation")]
+    rows = numbered(rows, [image, order, "_k"], "_id")
+    columns = [F.col("_id").alias("id"), F.col(image), F.col(category), "area", F.array(box.x, box.y, box.w, box.h).alias("bbox"), F.col("_p").alias("segmentation")]
     return rows.select(*columns, *([F.col(score)] if score else []))
 
 
