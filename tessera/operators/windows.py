@@ -22,34 +22,51 @@ def cumulative_position(rows: DataFrame, group: str, order: str, pose: str, shif
     return rows.select("*", F.when(all_pose, F.col(pose).cast("double")).otherwise(summed).alias("position"), (~all_pose & ~first & F.col(shift).isNull()).alias("forced"))
 
 
+def ranged(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """rows sorted by ranges and written to the shared folder, so that places stay however
+    often they are read: with _place_range and, growing inside each range, _place_row."""
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/tessera-order-{uuid.uuid4().hex}"
+    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place_row", F.monotonically_increasing_id())
+    out.write.parquet(folder)
+    return spark.read.schema(out.schema).parquet(folder).withColumn("_place_range", F.shiftright("_place_row", 33))
+
+
+def before_range(keys: Sequence[str]):
+    """Of a table with a row a range (and key): all rows of earlier ranges."""
+    return Window.partitionBy(*keys).orderBy("_place_range").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def average_precision(dets: DataFrame, truths: DataFrame, keys: Sequence[str], score: str, hit: str, tie: Sequence[str]) -> DataFrame:
     """101-point interpolated average precision per keys. dets: one row a detection with its
     score and whether it is a true positive; truths: keys and n_gt. Null where there is no
-    truth, 0 where there is no detection. Equal scores are ordered by ``tie``."""
+    truth, 0 where there is no detection. Equal scores are ordered by ``tie``. A class's
+    detections are counted range by range, so one class may hold most rows."""
     keys = list(keys)
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tail = Window.partitionBy(*keys).orderBy(F.desc(score), *tie).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = dets.join(truths, keys).filter("n_gt > 0")
-    found = found.withColumn("tp", F.sum(F.col(hit).cast("int")).over(order)).withColumn("seen", F.count(F.lit(1)).over(order))
-    found = found.withColumn("recall", F.col("tp") / F.col("n_gt")).withColumn("precision", F.max(F.col("tp") / F.col("seen")).over(tail))
-    # precision falls and recall grows with rank, so each grid point takes the largest precision at or beyond it
-    grid = found.groupBy(*keys, "recall").agg(F.max("precision").alias("precision"))
-    grid = grid.withColumn("q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(100)), lambda i: i * F.lit(0.01)))).filter("recall >= q")
-    area = grid.groupBy(*keys, "q").agg(F.max("precision").alias("p")).groupBy(*keys).agg((F.sum("p") / 101.0).alias("ap"))
+    found = dets.join(truths, keys).filter("n_gt > 0").select(*keys, "n_gt", score, *tie, F.col(hit).cast("long").alias("_hit"))
+    parts = ranged(found, [*keys, F.desc(score), *tie])
+    sums = parts.groupBy("_place_range", *keys).agg(F.sum("_hit").alias("_t"), F.count("*").alias("_s"))
+    earlier = [F.coalesce(F.sum(c).over(before_range(keys)), F.lit(0)).alias(f"{c}_before") for c in ("_t", "_s")]
+    inside = Window.partitionBy("_place_range", *keys).orderBy("_place_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = parts.withColumn("_t", F.sum("_hit").over(inside)).withColumn("_s", F.count(F.lit(1)).over(inside))
+    counted = counted.join(sums.select("_place_range", *keys, *earlier), ["_place_range", *keys])
+    tp, seen = F.col("_t") + F.col("_t_before"), F.col("_s") + F.col("_s_before")
+    counted = counted.select(*keys, (tp / F.col("n_gt")).alias("recall"), (tp / seen).alias("precision"))
+    # recall grows with rank: a grid point takes the largest precision of all that reach it
+    k = F.floor(F.col("recall") * 100).cast("int")
+    reached = F.when(F.col("recall") >= (k + 1) * F.lit(0.01), k + 1).when(F.col("recall") >= k * F.lit(0.01), k).otherwise(k - 1)
+    grid = counted.groupBy(*keys, F.least(reached, F.lit(100)).alias("_k")).agg(F.max("precision").alias("precision"))
+    points = grid.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_k")))).groupBy(*keys, "_q").agg(F.max("precision").alias("p"))
+    area = points.groupBy(*keys).agg((F.sum("p") / 101.0).alias("ap"))
     return truths.join(area, keys, "left").select(*keys, "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
 def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """rows with ``name``: their place in the order, from 1, ties in any order. No task sees
-    all rows: they are sorted by ranges, written to the shared folder so that places stay,
-    and each range's rows count on from those before it (one number a range is broadcast)."""
-    spark = rows.sparkSession
-    folder = f"{shared_dir(spark)}/tessera-order-{uuid.uuid4().hex}"
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place_row", F.monotonically_increasing_id())
-    ranged.write.parquet(folder)
-    parts = spark.read.schema(ranged.schema).parquet(folder).withColumn("_place_range", F.shiftright("_place_row", 33))
-    earlier = Window.orderBy("_place_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.groupBy("_place_range").agg(F.count("*").alias("_place_n")).select("_place_range", F.coalesce(F.sum("_place_n").over(earlier), F.lit(0)).alias("_place_before"))
+    all rows: each range counts on from those before it, whose sizes are one row a range."""
+    parts = ranged(rows, order)
+    sizes = parts.groupBy("_place_range").agg(F.count("*").alias("_place_n"))
+    offsets = sizes.select("_place_range", F.coalesce(F.sum("_place_n").over(before_range([])), F.lit(0)).alias("_place_before"))
     place = F.col("_place_before") + F.col("_place_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
     return parts.join(F.broadcast(offsets), "_place_range").withColumn(name, place).drop("_place_range", "_place_row", "_place_before")
 
