@@ -120,7 +120,7 @@ def round_history(rounds: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def unlabelled(pool: DataFrame, labelled: DataFrame, flying: DataFrame, holdout: DataFrame, key: str, session: str) -> DataFrame:
     """The pool without labelled frames, frames in flight and held-out sessions."""
-    return pool.join(labelled, key, "left_anti").join(flying, key, "left_anti").join(F.broadcast(holdout), session, "left_anti")
+    return pool.join(labelled, key, "left_anti").join(flying, key, "left_anti").join(holdout, session, "left_anti")
 
 
 def contact_rank(rows: DataFrame, session: str, contact: str, name: str, cap: int, top: int) -> DataFrame:

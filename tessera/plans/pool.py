@@ -290,7 +290,7 @@ def split_plan(spark, sf):
 def split_leaks(spark, sf):
     """Sessions in several splits of the plan: none."""
     plan = split_plan(spark, sf).select(F.col("session_id").cast("long").alias("session_id"), "split")
-    rows = frames(spark, sf).join(F.broadcast(plan), "session_id", "left")
+    rows = frames(spark, sf).join(plan, "session_id", "left")
     return splits.leaks(rows, "session_id", "split").select("splits", "session_id").withColumnRenamed("splits", "split")
 
 
