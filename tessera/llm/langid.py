@@ -2,18 +2,18 @@
 
 Text is lower-cased, runs of what isn't a letter become one space, and characters are hashed
 to 12 bits, so a four-gram packs into one integer. Spark sums the four-grams of all training
-documents per language; the Kneser-Ney probabilities of all orders follow from that table.
-The model is one sorted array of packed grams per order, with a row of log-probabilities
-(one column a language) for each and back-off weights for contexts; a gram that no language
-has seen backs off to the next order. The language with the lowest cross-entropy per
+documents per language; counts, discounts and Kneser-Ney probabilities of all orders follow
+from the whole of that table. The model is one sorted array of packed grams per order, with
+the log-probability in each language that has seen the gram, and back-off weights likewise for
+contexts; in all other languages a gram backs off to the next order. The language with the lowest cross-entropy per
 character is chosen. A text is rejected if its cross-entropy lies above its language's mean
 by more than a gap, and for short texts by a further part that falls with the square root of
 the length; both are calibrated on training documents, so that mixed and noisy text of a
 known language stays and text of none goes.
 
-Bounds: at most ``MAX_CELLS`` numbers in the model's largest table (most frequent grams
-first; what is left out backs off); the limit is fitted on about ``CALIBRATION_DOCS``
-training documents picked by hash. Counts cover all training documents.
+Bounds: the limit is fitted on about ``CALIBRATION_DOCS`` training documents picked by hash.
+The model holds every gram of every language, so it grows with the distinct four-grams of a
+language, not with documents or with languages times grams.
 
 Defined cases: null text, or text without letters, is ``und`` with score 0 and rejected;
 rows with null lang or null doc_id aren't learned from; repeated rows count each time;
@@ -34,7 +34,7 @@ from tessera.llm.common import add_columns, materialise
 
 ORDER, BITS = 4, 12
 SPACE = 32
-MAX_CELLS = 4_000_000
+LANG_BITS = 63 - ORDER * BITS
 CALIBRATION_DOCS = 20_000
 CHUNK = 1 << 18
 #: The gap is this many times that of the farthest calibration texts but one in a thousand,
@@ -156,69 +156,93 @@ class TextsOf:
         return (x.as_py() for x in self.column)
 
 
+@dataclass
+class Rows:
+    """A sparse table: for each of the sorted ``keys`` the languages that have it, with a value each."""
+
+    keys: np.ndarray
+    start: np.ndarray
+    lang: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, packed: np.ndarray, value: np.ndarray) -> Rows:
+        """packed: sorted keys, each followed by its language in the lowest bits."""
+        key = packed >> LANG_BITS
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        return cls(key[first], np.append(first, len(key)), (packed & ((1 << LANG_BITS) - 1)).astype(np.int16), value.astype(np.float32))
+
+    def find(self, query: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+        """(place in query, language) and value of each entry of the keys asked for."""
+        at = lookup(self.keys, query)
+        place = np.flatnonzero(at >= 0)
+        begin = self.start[at[place]]
+        n = self.start[at[place] + 1] - begin
+        flat = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return (np.repeat(place, n), self.lang[flat]), self.value[flat]
+
+
 @dataclass
 class Model:
-    """For order k: ``keys[k]`` sorted packed grams, ``logp[k]`` a row each; for their
-    contexts ``contexts[k]`` sorted and ``backoff[k]``. Columns follow ``langs``."""
+    """For order k: ``keys[k]`` sorted packed grams, ``logp[k]`` their log-probabilities in the
+    languages that have them, ``backoff[k]`` the weights of their contexts likewise."""
 
     langs: list[str]
     keys: dict[int, np.ndarray] = field(default_factory=dict)
-    logp: dict[int, np.ndarray] = field(default_factory=dict)
-    contexts: dict[int, np.ndarray] = field(default_factory=dict)
-    backoff: dict[int, np.ndarray] = field(default_factory=dict)
+    logp: dict[int, Rows] = field(default_factory=dict)
+    backoff: dict[int, Rows] = field(default_factory=dict)
     unseen: np.ndarray | None = None
     limits: np.ndarray | None = None
 
     @classmethod
     def fit(cls, tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         """tables: for each language its packed grams (distinct) and their counts."""
-        self = cls(sorted(tables))
-        wide = len(self.langs)
-        table = {lang: tables[lang] for lang in self.langs}
-        orders = {ORDER: table}
+        langs = sorted(tables)
+        own = np.repeat(np.arange(len(langs)), [len(tables[x][0]) for x in langs])
+        return cls.of(langs, own, *(np.concatenate([tables[x][k] for x in langs]).astype(np.int64) for k in (0, 1)))
+
+    @classmethod
+    def of(cls, langs: list[str], own: np.ndarray, key: np.ndarray, n: np.ndarray) -> Model:
+        """langs: sorted; own, key, n: number of the language, packed gram and count, each pair once."""
+        if len(langs) > 1 << LANG_BITS:
+            raise ValueError(f"{len(langs)} languages, but {1 << LANG_BITS} can be told apart")
+        self = cls(langs)
+        low, wide = (1 << LANG_BITS) - 1, len(langs)
+        packed = key << LANG_BITS | own
+        order = np.argsort(packed)
+        orders = {ORDER: (packed[order], n[order])}
         for k in range(ORDER - 1, 0, -1):  # how many characters come before each shorter gram
-            mask = (1 << BITS * k) - 1
-            orders[k] = {lang: tuple(x.astype(np.int64) for x in np.unique(key & mask, return_counts=True)) for lang, (key, _) in orders[k + 1].items()}
-        letters = len(np.unique(np.concatenate([key for key, _ in orders[1].values()])))
-        lower_keys, lower = None, np.full((1, wide), 1.0 / (letters + 1))
-        self.unseen = None
+            orders[k] = np.unique(orders[k + 1][0] & ((1 << BITS * k + LANG_BITS) - 1), return_counts=True)
+        letters = len(np.unique(orders[1][0] >> LANG_BITS))
+        self.unseen = np.full(wide, -np.log(letters + 1), np.float32)
+        lower_packed, lower = None, np.array([1.0 / (letters + 1)])
         for k in range(1, ORDER + 1):
-            keys = np.unique(np.concatenate([key for key, _ in orders[k].values()]))
-            contexts = np.unique(keys >> BITS)
-            first, weight = np.zeros((len(keys), wide)), np.ones((len(contexts), wide))
-            for j, lang in enumerate(self.langs):
-                key, n = orders[k][lang]
-                one, two = (n == 1).sum(), (n == 2).sum()
-                cut = one / (one + 2 * two) if one and two else 0.5
-                at = np.searchsorted(contexts, key >> BITS)
-                total = np.bincount(at, n, len(contexts))
-                types = np.bincount(at, minlength=len(contexts))
-                seen = total > 0
-                weight[seen, j] = cut * types[seen] / total[seen]
-                first[np.searchsorted(keys, key), j] = np.maximum(n - cut, 0) / total[at]
-            below = lower[0] if lower_keys is None else lower[np.searchsorted(lower_keys, keys & ((1 << BITS * (k - 1)) - 1))]
-            p = first + weight[np.searchsorted(contexts, keys >> BITS)] * below
+            packed, n = orders[k]
+            own = packed & low
+            one, two = (np.bincount(own[n == x], minlength=wide) for x in (1, 2))
+            cut = np.where((one > 0) & (two > 0), one / np.maximum(one + 2 * two, 1), 0.5)
+            contexts, at = np.unique(packed >> BITS + LANG_BITS << LANG_BITS | own, return_inverse=True)
+            total, types = np.bincount(at, n), np.bincount(at)
+            weight = cut[contexts & low] * types / total
+            below = lower if lower_packed is None else lower[np.searchsorted(lower_packed, packed & ((1 << BITS * (k - 1) + LANG_BITS) - 1))]
+            p = np.maximum(n - cut[own], 0) / total[at] + weight[at] * below
             if k == 1:
-                self.unseen = np.log(weight[0] * below).astype(np.float32)
-            self.keys[k], self.logp[k] = keys, np.log(p).astype(np.float32)
-            self.contexts[k], self.backoff[k] = contexts, np.log(weight).astype(np.float32)
-            lower_keys, lower = keys, p
+                self.unseen[contexts & low] = np.log(weight * below)
+            self.logp[k], self.backoff[k] = Rows.of(packed, np.log(p)), Rows.of(contexts, np.log(weight))
+            self.keys[k] = self.logp[k].keys
+            lower_packed, lower = packed, p
         return self
 
     def logs(self, query: np.ndarray, k: int = ORDER) -> np.ndarray:
         """Log-probability of each packed gram's last character after the others, per language."""
         if k == 0:
-            return np.broadcast_to(self.unseen, (len(query), len(self.langs)))
-        at = lookup(self.keys[k], query)
-        out = self.logp[k][at]
-        (missing,) = np.nonzero(at < 0)
-        if len(missing):
-            rest = query[missing]
-            low = self.logs(rest & ((1 << BITS * (k - 1)) - 1), k - 1)
-            if k > 1:
-                there = lookup(self.contexts[k], rest >> BITS)
-                low = low + np.where((there >= 0)[:, None], self.backoff[k][there], 0)
-            out[missing] = low
+            return np.repeat(self.unseen[None], len(query), 0)
+        out = self.logs(query & ((1 << BITS * (k - 1)) - 1), k - 1)
+        if k > 1:
+            at, weight = self.backoff[k].find(query >> BITS)
+            out[at] += weight
+        at, logp = self.logp[k].find(query)
+        out[at] = logp
         return out
 
     def entropies(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +269,8 @@ class Model:
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         out = np.zeros((len(codes), len(self.langs)))
         for piece in range(0, len(query), CHUNK):
-            logs = self.logs(query[piece : piece + CHUNK]).astype(np.float64)
+            distinct, again = np.unique(query[piece : piece + CHUNK], return_inverse=True)
+            logs = self.logs(distinct).astype(np.float64)[again]
             at = np.searchsorted(begin, np.arange(piece, piece + len(logs)), "right") - 1
             starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             out[at[starts]] += np.add.reduceat(logs, starts)
@@ -272,20 +297,11 @@ def train(docs: DataFrame) -> Model:
     """The model of the documents that may be learned from."""
     rows = docs.filter(remainder(F.col("doc_id")) != 1).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     counts = materialise(count_grams(rows), "grams")
-    langs = counts.agg(F.count_distinct("lang")).first()[0]
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
         return Model([])
-    room = MAX_CELLS // langs
-    # the most frequent grams that fit, found from how often each count occurs
-    often = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy(F.desc("n")).collect()
-    least, total = 10_000, 0
-    for r in often:
-        total += r["count"]
-        if total > room and r.n < 10_000:
-            break
-        least = r.n
-    kept = counts.filter(F.col("n") >= least).toPandas()
-    model = Model.fit({lang: (part["gram"].to_numpy(), part["n"].to_numpy()) for lang, part in kept.groupby("lang")})
+    table = counts.select((F.array_position(F.lit(langs), F.col("lang")) - 1).alias("own"), "gram", "n").toArrow()
+    model = Model.of(langs, *(table[x].to_numpy() for x in ("own", "gram", "n")))
     # calibration: how far above its language's mean a text's cross-entropy lies
     n = rows.count()
     share = min(1.0, CALIBRATION_DOCS / max(n, 1))

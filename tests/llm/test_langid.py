@@ -110,3 +110,17 @@ def test_nothing_to_learn(spark):
     rows = langid.identify(spark.createDataFrame([(1, "abc", None, "")], SCHEMA)).collect()
     assert [(r.lang_pred, r.score, r.rejected) for r in rows] == [("und", 0.0, False)]
     assert langid.identify(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rare_languages_stay_beside_a_frequent_one(spark):
+    rng = random.Random(4)
+    # one language has 60,000 distinct grams, eighty more a few that occur once
+    docs = [(k, "".join(rng.choices([chr(0x4E00 + x) for x in range(1500)], k=60_000)), "big", "") for k in (0, 2, 3)]
+    docs += [(100 + k, "".join(chr(0xAC00 + 40 * k + x) for x in range(30)), f"l{k:02d}", "") for k in range(120)]
+    train = [d for d in docs if zlib.crc32(str(d[0]).encode()) % 3 != 1]
+    model = langid.train(spark.createDataFrame(docs, SCHEMA))
+    assert model.langs == sorted({d[2] for d in train}) and len(model.langs) > 70
+    grams = {(x, g) for _, t, x, _ in train for g in langid.grams([langid.encode(t)])[0].tolist()}
+    assert len(model.logp[4].lang) == len(grams) > 60_000
+    rare = [d for d in train if d[2] != "big"]
+    assert model.predict([d[1] for d in rare])[0] == [d[2] for d in rare]
