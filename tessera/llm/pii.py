@@ -8,7 +8,9 @@ outside by definition. Node potentials are logistic weights of binary shape and
 features. Neighbouring nodes share chain potentials; nodes with equal or similar tokens (same
 text, same last seven digits, same local part), however distant, share skip potentials,
 linked each to the next such node so that edges grow with the nodes. Loopy belief
-propagation runs over a batch of documents at once. Tokens of base spans are clamped to
+propagation runs over a batch of documents at once until no message moves by ``SETTLED``;
+each round only renews the messages whose sources have moved, so a base span reaches the
+last of any number of repeats. Tokens of base spans are clamped to
 their kind, and what they say spreads along skip edges. A token is added if its marginal
 for one kind is at least ``SURE``.
 
@@ -39,7 +41,9 @@ from tessera.llm.spans import PERSONAL, base_spans, luhn
 
 LABELS = ("none", *PERSONAL)
 MOST_PATTERNS = 50_000
-SURE, ROUNDS, DAMP = 0.9, 12, 0.5
+SURE, DAMP, SETTLED = 0.9, 0.5, 1e-4
+#: A message renewed more often than this swings on a loop: from there on its steps shrink.
+SWINGS, SHRINK = 200, 0.98
 STRONGEST, UNLIKE = 4.0, -3.0
 NEAR = 2  # tokens between chain neighbours at most
 _TOKEN = re.compile(r"\S+")
@@ -184,20 +188,29 @@ def association(n: np.ndarray) -> np.ndarray:
 
 
 def propagate(score: np.ndarray, kinds: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Damped sum-product in the log domain, all messages at once each round."""
+    """Damped sum-product in the log domain until it has settled. A round renews all messages
+    at once that still move or whose source has moved."""
     a = np.concatenate([np.concatenate([e[:, 0], e[:, 1]]) for e, _ in kinds])
     b = np.concatenate([np.concatenate([e[:, 1], e[:, 0]]) for e, _ in kinds])
     back = np.concatenate([base + np.concatenate([np.arange(len(e)) + len(e), np.arange(len(e))]) for (e, _), base in zip(kinds, np.cumsum([0, *[2 * len(e) for e, _ in kinds[:-1]]]), strict=True)])
-    tables = np.concatenate([np.repeat(t[None], 2 * len(e), 0) for e, t in kinds])
-    message = np.zeros((len(a), score.shape[1]))
+    table, of = np.stack([t for _, t in kinds]), np.repeat(np.arange(len(kinds)), [2 * len(e) for e, _ in kinds])
+    leaving = np.argsort(a, kind="stable")  # the messages of node k: leaving[first[k]:first[k + 1]]
+    first = np.searchsorted(a[leaving], np.arange(len(score) + 1))
+    message, renewed = np.zeros((len(a), score.shape[1])), np.zeros(len(a), np.int64)
     belief = score.copy()
-    for _ in range(ROUNDS if len(a) else 0):
-        out = belief[a] - message[back]
-        new = logsumexp(out[:, :, None] + tables, 1)
+    live = np.arange(len(a))
+    while len(live):
+        out = belief[a[live]] - message[back[live]]
+        new = logsumexp(out[:, :, None] + table[of[live]], 1)
         new -= logsumexp(new, 1)[:, None]
-        message = DAMP * message + (1 - DAMP) * new
-        belief = score.copy()
-        np.add.at(belief, b, message)
+        step = (new - message[live]) * ((1 - DAMP) * SHRINK ** np.maximum(renewed[live] - SWINGS, 0))[:, None]
+        renewed[live] += 1
+        message[live] += step
+        np.add.at(belief, b[live], step)
+        live = live[np.abs(step).max(1) > SETTLED]
+        node = np.unique(b[live])
+        n = first[node + 1] - first[node]
+        live = np.union1d(live, leaving[np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
     return np.exp(belief - logsumexp(belief, 1)[:, None])
 
 

@@ -72,3 +72,24 @@ def test_adds_what_the_document_supports_and_keeps_the_base(spark):
 
 def test_empty(spark):
     assert pii.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_base_span_reaches_the_last_of_many_repeats():
+    wide = len(pii.LABELS)
+    skip = np.where(np.eye(wide, dtype=bool), pii.STRONGEST, pii.UNLIKE)
+    weights = np.full((pii.WIDE + 1, wide), 0.0)
+    weights[-1] = [0, -20, -20, -20, 0.2]  # the shape alone leaves it open
+    field = pii.Field(weights, np.zeros((wide, wide)), skip)
+    for repeats in (1, 10, 50, 400):
+        text = "call +1-415-555-2671 " + "then go on with 415-555-2671 " * repeats
+        found = pii.find([text, "no 415-555-2671"], field)
+        assert [kind for *_, kind, base in found[0] if not base] == ["phone"] * repeats
+        assert found[1] == []
+
+
+def test_swinging_messages_end():
+    rng = np.random.default_rng(8)
+    pairs = np.array(list(itertools.combinations(range(12), 2)))
+    table = np.array([[-4.0, 4.0], [4.0, -4.0]])
+    got = pii.propagate(rng.normal(size=(12, 2)), [(pairs, table), (np.zeros((0, 2), int), table)])
+    assert np.isfinite(got).all() and np.allclose(got.sum(1), 1)
