@@ -1,11 +1,13 @@
-"""Secret scan with structural confirmation.
+r"""Secret scan with structural confirmation.
 
 Base spans come from fixed patterns (``spans``). Beyond these, runs of base64 or hex are
 decoded and reported only if what they hold parses to the last byte: DER key structures by
 their nested lengths (PKCS#1, PKCS#8, SEC1), OpenSSH private keys by their length-prefixed
 fields, signed tokens by a JSON header with an algorithm and a JSON body, PEM blocks by
 what lies between their lines, and encoded text that itself holds one of these or an access
-key. Public keys and certificates aren't secrets and aren't reported.
+key. A structure may be wrapped into lines of one width, the last one shorter, and line ends
+may be escaped (``\n`` and ``\r`` as two characters). Public keys and certificates aren't
+secrets and aren't reported.
 
 Kinds added: ``jwt``, ``pem``, ``der``, ``ssh``, ``encoded``. Defined cases: null text is
 empty; equal spans of several kinds are all listed; an empty table gives an empty result;
@@ -28,7 +30,11 @@ ADDED = ("jwt", "pem", "der", "ssh", "encoded")
 KINDS = SECRET + ADDED
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}+={0,2}")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{22,}+)={0,2}")
+_NEXT = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]++)(={0,2})")
+_ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
+#: How the base64 of a key structure's first bytes begins.
+_STARTS = ("M", "b3BlbnNzaC1rZXk")
 _HEX_RUN = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 DEEPEST = 4
 
@@ -154,7 +160,8 @@ def pem_blocks(text: str) -> list[tuple[int, int]]:
             open_.add(m[1])
             continue
         body = text[m.end() : end]
-        if "\n\n" in (plain := body.replace("\r", "")).strip("\n"):  # headers come before a blank line
+        plain = "\n".join(x.strip(" \t") for x in body.replace("\r", "").split("\n"))
+        if "\n\n" in plain.strip("\n"):  # headers come before a blank line
             plain = plain.strip("\n").split("\n\n", 1)[1]
         data = from_base64("".join(plain.split()))
         secret = "PRIVATE" in m[1] and data and (key_kind(data) or ("ENCRYPTED" in body and len(data) >= 16))
@@ -164,27 +171,66 @@ def pem_blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def wrapped(text: str, m: re.Match) -> list[tuple[str, int]]:
+    """(run, end) of the runs that begin with this one and go on in the next lines, longest first."""
+    parts, ends, at = [m[1]], [m.end()], m.end()
+    while m.end() == m.end(1) and (n := _NEXT.match(text, at)) and len(n[1]) <= len(m[1]):
+        parts.append(n[1])
+        ends.append(at := n.end())
+        if len(n[1]) < len(m[1]) or n[2]:
+            break
+    out = {len(parts), len(parts) - 1} - {0, 1}
+    head = from_base64(m[1][:8])
+    if len(parts) > 1 and head and head[0] == 0x30:  # its length says where it ends
+        wide = head[1] & 0x7F if head[1] & 0x80 else 0
+        size = 2 + wide + (int.from_bytes(head[2 : 2 + wide]) if wide else head[1]) if wide <= 4 else 0
+        k = -(-(-(-size * 4 // 3)) // len(m[1]))
+        out |= {k} if 1 < k < len(parts) else set()
+    return [("".join(parts[:k]), ends[k - 1]) for k in sorted(out, reverse=True)]
+
+
+def run_kind(run: str, depth: int) -> str | None:
+    readings = [binascii.unhexlify(run)] if _HEX_RUN.fullmatch(run) else []
+    readings.append(from_base64(run))
+    for data in readings:
+        if data and (kind := key_kind(data)):
+            return kind
+        if data and depth < DEEPEST and data.isascii() and len(data) >= 16:
+            inner = data.decode()
+            if accesses(inner) or confirmed(inner, depth + 1):
+                return "encoded"
+    return None
+
+
 def confirmed(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what decodes to a secret's structure."""
+    out = confirmed_in(text, depth)
+    if "\\" in text:  # once more with escaped line ends as such, each as long as before
+        plain = _ESCAPED.sub(lambda m: " " * (len(m[0]) - 1) + "\n", text)
+        if plain != text:
+            more = confirmed_in(plain, depth)
+            known = [(s, e) for s, e, _ in more]
+            out = more + [x for x in out if not any(s <= x[0] and x[1] <= e or x[0] <= s and e <= x[1] for s, e in known)]
+    return out
+
+
+def confirmed_in(text: str, depth: int) -> list[tuple[int, int, str]]:
     out = [(s, e, "pem") for s, e in pem_blocks(text)] if "-----BEGIN " in text else []
     inside = [(s, e) for s, e, _ in out]
     if "." in text:
         out += [(*m.span(), "jwt") for m in _TOKEN.finditer(text) if signed_token(m[0])]
+    done = tried = 0  # the ends of what was found, and of the lines tried together
     for m in _RUN.finditer(text):
-        if any(s <= m.start() < e for s, e in inside):
+        if m.start() < done or any(s <= m.start() < e for s, e in inside):
             continue
-        run, kind = m[0], None
-        readings = [binascii.unhexlify(run)] if _HEX_RUN.fullmatch(run) else []
-        readings.append(from_base64(run))
-        for data in readings:
-            if data and not kind:
-                kind = key_kind(data)
-                if not kind and depth < DEEPEST and data.isascii() and len(data) >= 16:
-                    inner = data.decode()
-                    if accesses(inner) or confirmed(inner, depth + 1):
-                        kind = "encoded"
-        if kind:
-            out.append((*m.span(), kind))
+        longer = wrapped(text, m) if m.start() >= tried or m[1].startswith(_STARTS) else []
+        if longer:
+            tried = max(tried, longer[0][1])
+        for run, end in [*longer, (m[0], m.end())]:
+            if kind := run_kind(run, depth):
+                out.append((m.start(), end, kind))
+                done = end
+                break
     return out
 
 

@@ -62,3 +62,19 @@ def test_scan_edges(spark):
     assert sorted(len(r.found) for r in rows) == [0, 0, 0, 0, 1]
     assert [(f.start, f.kind) for r in rows for f in r.found] == [(2, "jwt")]
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_wrapped_and_escaped_runs():
+    assert kinds("x QUtJQUlPU0ZPRE5ON0VYQU1QTEU= y") == [("encoded", "QUtJQUlPU0ZPRE5ON0VYQU1QTEU=")]
+    for data, kind in ((RSA, "der"), (EC, "der"), (SSH, "ssh")):
+        for width in (64, 76):
+            for end in ("\n", "\r\n", "\n  ", "\\n", "\\r\\n"):
+                text = end.join(b64(data)[k : k + width] for k in range(0, len(b64(data)), width))
+                for after in (" there", f"{end}there", ""):
+                    assert kinds(f"é see {text}{after}") == [(kind, text)], (kind, width, end, after)
+    for end in ("\\n", "\\r\\n", "\\\\n"):
+        body = end.join(b64(PKCS8)[k : k + 64] for k in range(0, len(b64(PKCS8)), 64))
+        pem = f"-----BEGIN PRIVATE KEY-----{end}{body}{end}-----END PRIVATE KEY-----"
+        assert kinds(f'{{"private_key": "{pem}{end}"}}') == [("pem", pem)]
+    for data in (PUBLIC, RSA[:-3], os.urandom(200)):
+        assert confirmed("\n".join(b64(data)[k : k + 64] for k in range(0, len(b64(data)), 64))) == []
