@@ -4,8 +4,9 @@ Every page is parsed once to score its containers: a block of text gives its len
 that of links, to its parent and less to what stands above. The best containers' paths,
 tags with generalised classes, are votes, weighted by their share of the page's text; Spark
 sums them per host, and a host's leading paths (at most ``LEADERS``) win. On the second pass
-a page's text is taken from the elements at the first winning path that holds at least half
-of what its own best container does, else from that container. Inside, menus, headers,
+a page's text is taken from the elements at the first winning path that holds nearly all of
+what its own best container does or, where it lies apart from that, at least half as much;
+else from that container. Inside, menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out,
 by tag, role and class words.
 
@@ -31,6 +32,7 @@ from tessera.llm.common import add_columns, materialise, maybe_broadcast
 
 LEADERS, LEAST_SHARE = 3, 0.2
 DECAY, DEEP = 0.5, 3
+NEARLY = 0.95
 
 # What elements are, and words that mark them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,11 +266,13 @@ def extract(html: str | None, leaders: list[str]) -> tuple[str, str | None]:
     best = max(found, key=lambda k: (found[k], -k)) if found else -1
     inside = within(page, {best}, blocks)
     most = sum(len(b[1]) for b in inside)
+    at = {id(b) for b in inside}
     for path in leaders:
         tag = path.rpartition(">")[2].partition(".")[0]
         nodes = {k for k in range(len(page.tag)) if page.tag[k] == tag and path_of(page, k) == path}
         own = within(page, nodes, blocks) if nodes else []
-        if nodes and 2 * sum(len(b[1]) for b in own) >= most:
+        shared = sum(len(b[1]) for b in own if id(b) in at)
+        if nodes and (shared >= NEARLY * most if shared else 2 * sum(len(b[1]) for b in own) >= most):
             return "\n".join(b[1] for b in own), path
     return "\n".join(b[1] for b in inside), path_of(page, best)
 

@@ -58,3 +58,10 @@ def test_odd_runs_end_soon(unit):
     html.extract(unit * 20_000 + "</i>text<p class='ad'>x", ["html>body"])
     html.votes(unit * 20_000 + "text")
     assert time.time() - began < 10
+
+
+def test_an_article_in_two_containers_stays_whole():
+    both = page(f"<main><div class='a'><p>{LONG * 6}</p></div><div class='b'><p>{LONG * 4}</p></div></main>")
+    leader = ["html>body>main>div.a"]
+    assert html.extract(both, leader)[0] == f"{LONG * 6}\n{LONG * 4}"
+    assert html.extract(page(f"<main><div class='a'><p>{LONG * 6}</p></div></main>"), leader) == (LONG * 6, leader[0])
