@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import new_folder
 
 # Weights and limits of the score.
 WEIGHTS = {"uncertainty": 1.0, "lep_quality": 0.8, "rarity": 1.2, "crop_risk": 0.6}
@@ -46,7 +45,7 @@ def farthest_point(rows: DataFrame, group: str, key: str, vector: str, score: st
     normalised; of equal merits the first key wins. Adds ``place``. Every pick is two grouped
     aggregates over all rows; only the picks, at most k a group, are kept in between."""
     spark = rows.sparkSession
-    folder = f"{shared_dir(spark)}/tessera-picks-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "picks")
     top = rows.groupBy(group).agg(F.max(score).alias("_top"))
     base = rows.select(group, key, F.col(vector).cast("array<double>").alias("_v"), F.col(score).cast("double").alias("_s")).join(top, group)
     base = base.withColumn("_s", F.when(F.col("_top") > 0, F.col("_s") / F.col("_top")).otherwise(0.0)).drop("_top")

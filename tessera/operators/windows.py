@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import shared_dir
+from tessera.session import new_folder
 
 
 def cumulative_position(rows: DataFrame, group: str, order: str, pose: str, shift: str) -> DataFrame:
@@ -26,7 +25,7 @@ def ranged(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """rows sorted by ranges and written to the shared folder, so that places stay however
     often they are read: with _place_range and, growing inside each range, _place_row."""
     spark = rows.sparkSession
-    folder = f"{shared_dir(spark)}/tessera-order-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "order")
     out = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place_row", F.monotonically_increasing_id())
     out.write.parquet(folder)
     return spark.read.schema(out.schema).parquet(folder).withColumn("_place_range", F.shiftright("_place_row", 33))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import active, contract, kernels, matching, metrics, windows
 from tessera.plans.analogues import INSTANCES_SQL, frames, sides
-from tessera.session import shared_dir, table
+from tessera.session import new_folder, table
 from tessera.streaming import queries as streams
 
 Q, SQL = {}, {}
@@ -244,7 +242,7 @@ def stream(spark, sf):
 
 def landed(spark, rows, name):
     """All that the stream gives now, as a table in the shared folder."""
-    return streams.run_to_table(rows, f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}")
+    return streams.run_to_table(rows, new_folder(spark, name))
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),

@@ -5,14 +5,16 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from tessera.session import build_session  # noqa: E402
+from tessera.session import build_session, discard_tables  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return build_session(4, app="tessera-tests", **{"spark.sql.shuffle.partitions": "4"})
+    spark = build_session(4, app="tessera-tests", **{"spark.sql.shuffle.partitions": "4"})
+    yield spark
+    discard_tables(spark)
 
 
 @pytest.fixture(scope="session")
