@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A table is broadcast by hand only below this many rows, counted beforehand.
-BROADCAST_ROWS = 200_000
-
+from tessera.session import discard, materialise
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is set."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+__all__ = ["BROADCAST_ROWS", "add_columns", "ascii_lower", "discard", "materialise", "maybe_broadcast"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, so that a lost executor costs
-    no recomputation of what lies before it and statistics are those of the data."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A table is broadcast by hand only below this many rows, counted beforehand.
+BROADCAST_ROWS = 200_000
 
 
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
