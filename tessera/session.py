@@ -73,12 +73,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write df to the shared folder and read it back, so that a lost executor costs
-    no recomputation of what lies before it and statistics are those of the data."""
+    no recomputation of what lies before it and statistics are those of the data.
+    ``by``: columns that part the table into folders, the last columns of df."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=list(by))
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
