@@ -6,11 +6,17 @@ XXH3 digest. The store holds, per key, the exact number of documents and the las
 keys, a cuckoo filter of the keys that at least ``min_docs`` documents hold (``filters``).
 Documents can be inserted and deleted again: counts of the touched keys are taken anew from
 the references, and keys that cross ``min_docs`` enter or leave the filters. To dedup, lines
-that miss the filter stay at once; only hits are joined to the exact counts, so false hits
-drop nothing.
+that miss the filter stay at once; only hits meet the exact counts, so false hits drop
+nothing.
 
-Defined cases: null or empty text is one empty line; null doc_ids count as one document that
-comes before all others; rows that repeat a doc_id are one document; a key repeated inside a
+The filters always decide first. They go out in groups of at most ``FILTER_BYTES``: with one
+group lines are probed where they are read; with more, the references are written once, parted
+by group, and each part is probed by its own group, one after another. The exact counts of
+shared keys go out too if they were counted to take at most ``KEY_BYTES``, and no text is
+shuffled; else hits are joined to them, and texts to the keys they lose.
+
+Defined cases: doc_ids are integers; null or empty text is one empty line; null doc_ids count
+as one document that comes before all others; rows that repeat a doc_id are one document; a key repeated inside a
 document counts once and all its lines share its fate; an empty table gives an empty result;
 further columns pass through.
 """
@@ -25,14 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, materialise
+from tessera.llm.common import add_columns, discard, materialise
 from tessera.llm.cuckoo import Cuckoo, built
 
 SPACE = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 NO_ID = -(2**63)
-#: Filters are sent to the executors up to this size; beyond it all lines are joined.
-FILTER_BYTES = 32 << 20
+#: Filters go to the executors in groups of this size, exact keys if they take no more than this.
+FILTER_BYTES, KEY_BYTES = 32 << 20, 16 << 20
+#: Lines that are looked up at once.
+BLOCK = 1 << 16
 KEYS_A_SHARD = 500_000
 LEAST_CHARS, MIN_DOCS = 20, 3
 
@@ -75,23 +83,48 @@ def shard_of(h1: np.ndarray, bits: int) -> np.ndarray:
     return ((np.ascontiguousarray(h1).view(np.uint64) >> np.uint64(40)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def references(docs: DataFrame, least: int = LEAST_CHARS, probe=None) -> DataFrame:
-    """(h1, h2, doc): each long key of each document, once a row of docs; with a probe
-    (a broadcast), only keys that hit its filters."""
+@dataclass
+class Exact:
+    """Shared keys, sorted, and the last document that holds each."""
+
+    pairs: np.ndarray
+    last: np.ndarray
+
+    @classmethod
+    def of(cls, h1: np.ndarray, h2: np.ndarray, last: np.ndarray) -> Exact:
+        order = np.lexsort((h2, h1))
+        return cls(np.stack([h1, h2], 1)[order], last[order])
+
+    def find(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is here, and its last document."""
+        found, last = np.zeros(len(pairs), bool), np.zeros(len(pairs), np.int64)
+        own = np.ascontiguousarray(self.pairs[:, 0])
+        at, end = np.searchsorted(own, pairs[:, 0]), np.searchsorted(own, pairs[:, 0], "right")
+        while (open_ := np.flatnonzero((at < end) & ~found)).size:
+            same = self.pairs[at[open_], 1] == pairs[open_, 1]
+            found[open_[same]], last[open_[same]] = True, self.last[at[open_[same]]]
+            at[open_] += 1
+        return found, last
+
+
+REFERENCE = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64())])
+
+
+def reference_batch(pairs: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)] + [pa.array(ids)], schema=REFERENCE)
+
+
+def references(docs: DataFrame, least: int = LEAST_CHARS) -> DataFrame:
+    """(h1, h2, doc): each long key of each document, once a row of docs."""
 
     def run(batches):
-        schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64())])
         for batch in batches:
             ids, keys = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = {k for k in line_keys(text.as_py(), least) if k}
                 keys += own
                 ids += [doc] * len(own)
-            pairs, ids = as_pairs(keys), np.array(ids, np.int64)
-            if probe is not None and len(pairs):
-                hit = probe.value.hits(pairs)
-                pairs, ids = pairs[hit], ids[hit]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(ids)], schema=schema)
+            yield reference_batch(as_pairs(keys), np.array(ids, np.int64))
 
     return doc_key(docs).select("doc", "text").mapInArrow(run, "h1 long, h2 long, doc long")
 
@@ -101,24 +134,20 @@ def doc_key(docs: DataFrame) -> DataFrame:
 
 
 def count_refs(refs: DataFrame) -> DataFrame:
-    return refs.groupBy("h1", "h2").agg(F.count_distinct("doc").alias("n_docs"), F.max("doc").alias("last_doc"))
+    """refs: distinct."""
+    return refs.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
 
 
 class LineStore:
     """Counts, references and filters of a corpus; insert and delete return a new store."""
 
-    def __init__(self, counts: DataFrame, filters: DataFrame, bits: int, refs: DataFrame | None, least: int, min_docs: int):
+    def __init__(self, counts: DataFrame, filters: DataFrame, bits: int, refs: DataFrame, least: int, min_docs: int):
         self.counts, self.filters, self.bits, self.refs, self.least, self.min_docs = counts, filters, bits, refs, least, min_docs
 
     @classmethod
-    def build(cls, docs: DataFrame, least: int = LEAST_CHARS, min_docs: int = MIN_DOCS, keep_refs: bool = True) -> LineStore:
-        """keep_refs: keep what insert and delete need; a single dedup needs only the
-        counts of keys that enough documents hold."""
-        refs = references(docs, least)
-        if keep_refs:
-            refs = materialise(refs.distinct(), "line-refs")
-        counts = count_refs(refs)
-        counts = materialise(counts if keep_refs else counts.filter(F.col("n_docs") >= min_docs), "line-counts")
+    def build(cls, docs: DataFrame, least: int = LEAST_CHARS, min_docs: int = MIN_DOCS) -> LineStore:
+        refs = materialise(references(docs, least).distinct(), "line-refs")
+        counts = materialise(count_refs(refs), "line-counts")
         shared = counts.filter(F.col("n_docs") >= min_docs).select("h1", "h2")
         bits = max(4, int(np.ceil(np.log2(max(1, shared.count() / KEYS_A_SHARD)))))
 
@@ -127,16 +156,45 @@ class LineStore:
             return rows.iloc[:1].assign(shard=key[0], n=len(rows), slots=[one.write()])[["shard", "n", "slots"]]
 
         filters = shared.withColumn("shard", shard_column(bits)).groupBy("shard").applyInPandas(build, "shard long, n long, slots binary")
-        return cls(counts, materialise(filters, "line-filters"), bits, refs if keep_refs else None, least, min_docs)
-
-    def probe(self):
-        """The filters as a broadcast, or None if they are too large for that."""
-        total = self.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
-        if total > FILTER_BYTES:
-            return None
-        rows = self.filters.select("shard", "slots").collect()
+        return cls(counts, materialise(filters, "line-filters"), bits, refs, least, min_docs)
+
+    def groups(self) -> list[list[int]]:
+        """The shards, in order, in groups whose filters take at most FILTER_BYTES (one at least)."""
+        widest = self.filters.agg(F.max(F.octet_length("slots"))).first()[0] or 1
+        each, n = max(1, FILTER_BYTES // widest), 1 << self.bits
+        return [list(range(k, min(k + each, n))) for k in range(0, n, each)]
+
+    def probe(self, shards: list[int]):
+        """The filters of these shards as a broadcast."""
+        rows = self.filters.filter(F.col("shard").between(shards[0], shards[-1])).select("shard", "slots").collect()
         return self.filters.sparkSession.sparkContext.broadcast(Probe(self.bits, {r.shard: bytes(r.slots) for r in rows}))
 
+    def hits(self, refs: DataFrame) -> DataFrame:
+        """Those references whose keys the filters hold, a few false ones among them."""
+
+        def probed(part, sent):
+            def run(batches):
+                for batch in batches:
+                    columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                    pairs = np.stack(columns[:2], 1)
+                    hit = sent.value.hits(pairs)
+                    yield reference_batch(pairs[hit], columns[2][hit])
+
+            return part.select("h1", "h2", "doc").mapInArrow(run, "h1 long, h2 long, doc long")
+
+        groups = self.groups()
+        if len(groups) == 1:
+            return probed(refs, self.probe(groups[0]))
+        routed = refs.select("h1", "h2", "doc", F.floor(shard_column(self.bits) / len(groups[0])).cast("int").alias("part"))
+        routed, out = materialise(routed, "line-routed", by=("part",)), None
+        for k, shards in enumerate(groups):
+            sent = self.probe(shards)
+            one = materialise(probed(routed.filter(F.col("part") == k), sent), "line-hits")
+            sent.destroy()
+            out = one if out is None else out.unionByName(one)
+        discard(routed)
+        return out
+
     def _changed(self, refs: DataFrame, touched: DataFrame) -> LineStore:
         """The store for these references; touched: keys (h1, h2) whose counts may differ."""
         refs = materialise(refs, "line-refs")
@@ -182,8 +240,47 @@ class LineStore:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with text reduced to the lines that stay, n_lines (before) and n_dropped."""
-        hits = references(docs, self.least, self.probe()).distinct()
         shared = self.counts.filter(F.col("n_docs") >= self.min_docs).select("h1", "h2", "last_doc")
+        groups = self.groups()
+        if len(groups) == 1 and 24 * shared.count() <= KEY_BYTES:
+            return self._apply_here(docs, shared, self.probe(groups[0]))
+        return self._apply_joined(docs, shared)
+
+    def _apply_here(self, docs: DataFrame, shared: DataFrame, filters) -> DataFrame:
+        """Where the shared keys were counted to be few: no text moves."""
+        columns = shared.toArrow()
+        exact = docs.sparkSession.sparkContext.broadcast(Exact.of(*(columns[c].to_numpy() for c in ("h1", "h2", "last_doc"))))
+        least = self.least
+
+        def cut(texts, ids):
+            out, ids, at = [[], [], []], ids.to_pylist(), 0
+            while at < len(ids):  # blocks of texts, so that many lines are looked up at once
+                first, keys, held, lines = at, [], [], []
+                while at < len(ids) and (at == first or len(keys) < BLOCK):
+                    text = texts[at].as_py() or ""
+                    own = line_keys(text, least)
+                    long = [k for k, x in enumerate(own) if x]
+                    held.append((len(keys), long))
+                    keys += [own[k] for k in long]
+                    lines.append(text.split("\n"))
+                    at += 1
+                pairs = as_pairs(keys)
+                maybe = np.flatnonzero(filters.value.hits(pairs)) if len(pairs) else np.zeros(0, np.int64)
+                found, last = exact.value.find(pairs[maybe])
+                own = np.repeat(np.array(ids[first:at], np.int64), [len(long) for _, long in held])
+                gone = set(maybe[found & (own[maybe] != last)].tolist())
+                for have, (base, long) in zip(lines, held, strict=True):
+                    drop = {k for j, k in enumerate(long) if base + j in gone} if gone else ()
+                    stay = [x for k, x in enumerate(have) if k not in drop] if drop else have
+                    for column, value in zip(out, ("\n".join(stay), len(have), len(have) - len(stay)), strict=True):
+                        column.append(value)
+            return out
+
+        out = add_columns(doc_key(docs), cut, "_kept string, n_lines long, n_dropped long", ["text", "doc"])
+        return out.drop("doc", "text").withColumnRenamed("_kept", "text")
+
+    def _apply_joined(self, docs: DataFrame, shared: DataFrame) -> DataFrame:
+        hits = self.hits(references(docs, self.least).distinct())
         drops = hits.join(shared, ["h1", "h2"]).filter("doc <> last_doc").groupBy("doc").agg(F.collect_list("h1").alias("_d1"), F.collect_list("h2").alias("_d2"))
         joined = doc_key(docs).join(materialise(drops, "line-drops").hint("shuffle_hash"), "doc", "left").drop("doc")
         least = self.least
@@ -191,12 +288,10 @@ class LineStore:
         def cut(texts, d1, d2):
             kept, n_lines, n_dropped = [], [], []
             for text, a, b in zip(texts.to_pylist(), d1.to_pylist(), d2.to_pylist(), strict=True):
-                lines = (text or "").split("\n")
+                lines = stay = (text or "").split("\n")
                 if a:
                     gone = {x.to_bytes(8, "little", signed=True) + y.to_bytes(8, "little", signed=True) for x, y in zip(a, b, strict=True)}
                     stay = [x for x, k in zip(lines, line_keys(text, least), strict=True) if k is None or k not in gone]
-                else:
-                    stay = lines
                 kept.append("\n".join(stay))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
@@ -208,7 +303,7 @@ class LineStore:
 def dedup_lines(docs: DataFrame, least: int = LEAST_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with each line dropped that at least ``min_docs`` documents hold, but in the
     last of them; adds n_lines and n_dropped."""
-    return LineStore.build(docs, least, min_docs, keep_refs=False).apply(docs)
+    return LineStore.build(docs, least, min_docs).apply(docs)
 
 
 def shard_column(bits: int):

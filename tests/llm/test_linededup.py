@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from tessera.llm import linededup
 from tessera.llm.cuckoo import Cuckoo, built
 from tessera.llm.linededup import LineStore, dedup_lines
 
@@ -48,6 +50,25 @@ def test_equals_brute_force(spark):
     assert rows(dedup_lines(spark.createDataFrame(DOCS, SCHEMA))) == brute(DOCS)
 
 
+@pytest.mark.parametrize(("filters", "keys"), [(1, 1 << 20), (1 << 20, 1)])
+def test_other_ways_equal_brute_force(spark, monkeypatch, filters, keys):
+    """A filter a shard, one after another, and exact keys by a join."""
+    probed = []
+    monkeypatch.setattr(linededup, "FILTER_BYTES", filters)
+    monkeypatch.setattr(linededup, "KEY_BYTES", keys)
+    probe = LineStore.probe
+    monkeypatch.setattr(LineStore, "probe", lambda self, shards: probed.append(shards) or probe(self, shards))
+    assert rows(dedup_lines(spark.createDataFrame(DOCS, SCHEMA))) == brute(DOCS)
+    assert sorted(x for s in probed for x in s) == list(range(16)) and len(probed) == (16 if filters == 1 else 1)
+
+
+def test_exact_keys_that_share_a_half():
+    h1, h2 = np.array([5, 5, 5, -7]), np.array([3, 1, 2, 9])
+    one = linededup.Exact.of(h1, h2, np.array([30, 10, 20, 90]))
+    found, last = one.find(np.array([[5, 2], [5, 4], [-7, 9], [6, 1], [5, 1], [5, 3]]))
+    assert found.tolist() == [True, False, True, False, True, True] and last[found].tolist() == [20, 90, 10, 30]
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
