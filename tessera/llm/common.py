@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import discard, materialise
 
-__all__ = ["BROADCAST_ROWS", "add_columns", "ascii_lower", "discard", "materialise", "maybe_broadcast"]
+__all__ = ["BROADCAST_ROWS", "TextsOf", "add_columns", "ascii_lower", "discard", "materialise", "maybe_broadcast"]
 
 #: A table is broadcast by hand only below this many rows, counted beforehand.
 BROADCAST_ROWS = 200_000
@@ -23,6 +23,19 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+class TextsOf:
+    """An Arrow column of strings, made Python strings one at a time."""
+
+    def __init__(self, column):
+        self.column = column
+
+    def __len__(self):
+        return len(self.column)
+
+    def __iter__(self):
+        return (x.as_py() for x in self.column)
+
+
 def add_columns(df: DataFrame, function, fields: str, reads: list[str]) -> DataFrame:
     """df with the columns of ``fields`` appended, made batch by batch by
     ``function(*columns read, as Arrow arrays) -> [Arrow arrays or lists]``.

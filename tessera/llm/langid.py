@@ -8,12 +8,13 @@ the log-probability in each language that has seen the gram, and back-off weight
 contexts; in all other languages a gram backs off to the next order. The language with the lowest cross-entropy per
 character is chosen. A text is rejected if its cross-entropy lies above its language's mean
 by more than a gap, and for short texts by a further part that falls with the square root of
-the length; both are calibrated on training documents, so that mixed and noisy text of a
+the length. Every text is scored once; means and gaps are then taken over all training
+documents of a language, from counts of binned distances, so that mixed and noisy text of a
 known language stays and text of none goes.
 
-Bounds: the limit is fitted on about ``CALIBRATION_DOCS`` training documents picked by hash.
-The model holds every gram of every language, so it grows with the distinct four-grams of a
-language, not with documents or with languages times grams.
+Bounds: the model holds every gram of every language, so it grows with the distinct four-grams
+of a language, not with documents or with languages times grams. Letters from U+0800 on share
+2,048 codes, so large scripts are told apart by sequences of these, with some loss.
 
 Defined cases: null text, or text without letters, is ``und`` with score 0 and rejected;
 rows with null lang or null doc_id aren't learned from; repeated rows count each time;
@@ -27,22 +28,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, materialise
+from tessera.llm.common import TextsOf, add_columns, discard, materialise
 
 ORDER, BITS = 4, 12
 SPACE = 32
 LANG_BITS = 63 - ORDER * BITS
-CALIBRATION_DOCS = 20_000
 CHUNK = 1 << 18
-#: The gap is this many times that of the farthest calibration texts but one in a thousand,
-#: and at least LEAST_GAP nats a character.
-MARGIN, TAIL, LEAST_GAP = 2.0, 0.999, 1.25
+#: The gap is this many times that of the farthest training texts but one in a thousand, in
+#: steps of STEP nats, and at least LEAST_GAP nats a character.
+MARGIN, TAIL, LEAST_GAP, STEP = 2.0, 0.999, 1.25, 1 / 1024
 #: From this length on a text's cross-entropy counts as settled.
 LONG = 200
-TOP = 0x30000
+TOP = 0x110000
 
 _codes: list[np.ndarray] = []
 
@@ -51,7 +51,7 @@ def code_table() -> np.ndarray:
     """Code point -> 12-bit code; space for all that isn't a letter."""
     if not _codes:
         point = np.arange(TOP)
-        letter = np.fromiter((chr(c).isalpha() for c in range(TOP)), bool, TOP)
+        letter = np.fromiter(map(str.isalpha, map(chr, range(TOP))), bool, TOP)
         _codes.append(np.where(letter, np.where(point < 2048, point, 2048 + point % 2048), SPACE).astype(np.uint16))
     return _codes[0]
 
@@ -143,19 +143,6 @@ def lookup(keys: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == query, at, -1)
 
 
-class TextsOf:
-    """An Arrow column of strings, made Python strings one at a time."""
-
-    def __init__(self, column: pa.Array):
-        self.column = column
-
-    def __len__(self):
-        return len(self.column)
-
-    def __iter__(self):
-        return (x.as_py() for x in self.column)
-
-
 @dataclass
 class Rows:
     """A sparse table: for each of the sorted ``keys`` the languages that have it, with a value each."""
@@ -192,7 +179,6 @@ class Model:
     logp: dict[int, Rows] = field(default_factory=dict)
     backoff: dict[int, Rows] = field(default_factory=dict)
     unseen: np.ndarray | None = None
-    limits: np.ndarray | None = None
 
     @classmethod
     def fit(cls, tables: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
@@ -277,58 +263,81 @@ class Model:
         return out
 
     def predict(self, texts: list):
-        """Language, score, cross-entropy, length and rejection of each text."""
+        """Language, score, cross-entropy and length of each text."""
         if not self.langs:
-            return [["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts), [False] * len(texts)]
+            return [["und"] * len(texts), [0.0] * len(texts), [None] * len(texts), [0] * len(texts)]
         h, size = self.entropies(texts)
         best = h.argmin(1)
         low = h[np.arange(len(h)), best]
         score = 1 / np.exp(np.minimum((low[:, None] - h) * np.maximum(size, 1)[:, None], 0)).sum(1)
         named = size > 0
-        reject = ~named
-        if self.limits is not None:
-            limit, short = self.limits[best].T
-            reject = reject | (low > limit + short / np.sqrt(np.maximum(size, 1)))
         lang = np.where(named, np.array(self.langs, object)[best], "und")
-        return [lang.tolist(), np.where(named, score, 0.0).tolist(), [float(x) if n else None for x, n in zip(low, named, strict=True)], size, reject.tolist()]
+        return [lang.tolist(), np.where(named, score, 0.0).tolist(), [float(x) if n else None for x, n in zip(low, named, strict=True)], size]
+
+
+def learned() -> Column:
+    """Whether a row may be learned from."""
+    return (remainder(F.col("doc_id")) != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull()
 
 
 def train(docs: DataFrame) -> Model:
     """The model of the documents that may be learned from."""
-    rows = docs.filter(remainder(F.col("doc_id")) != 1).filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    rows = docs.filter(learned()).select("text", F.col("lang").cast("string").alias("lang"))
     counts = materialise(count_grams(rows), "grams")
     langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
     if not langs:
         return Model([])
     table = counts.select((F.array_position(F.lit(langs), F.col("lang")) - 1).alias("own"), "gram", "n").toArrow()
-    model = Model.of(langs, *(table[x].to_numpy() for x in ("own", "gram", "n")))
-    # calibration: how far above its language's mean a text's cross-entropy lies
-    n = rows.count()
-    share = min(1.0, CALIBRATION_DOCS / max(n, 1))
-    some = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    scored = materialise(apply(some.select("text", F.col("lang").alias("_true")), model).filter("lang_pred = _true").select("lang_pred", "entropy", "length"), "lang-calibration")
-    mean = scored.groupBy("lang_pred").agg((F.sum(F.col("entropy") * F.col("length")) / F.sum("length")).alias("mean"))
-    far = scored.join(mean, "lang_pred").withColumn("far", F.col("entropy") - F.col("mean"))
-    tail = lambda x: F.coalesce(F.percentile(x, F.lit(TAIL)), F.lit(0.0))
-    gaps = far.groupBy("lang_pred").agg(F.first("mean").alias("mean"), tail(F.when(F.col("length") >= LONG, F.col("far"))).alias("long"), tail(F.when(F.col("length") < LONG, F.col("far") * F.sqrt("length"))).alias("short"))
-    fit = {r.lang_pred: (r["mean"] + max(LEAST_GAP, MARGIN * r.long), MARGIN * max(r.short, 0.0)) for r in gaps.collect()}
-    model.limits = np.array([fit.get(x, (np.inf, 0.0)) for x in model.langs])
-    return model
+    discard(counts)
+    return Model.of(langs, *(table[x].to_numpy() for x in ("own", "gram", "n")))
+
+
+def limits(known: DataFrame) -> DataFrame:
+    """known: lang, entropy and length of training texts whose language is predicted right.
+    For each language the cross-entropy up to which a text is its own, and the further part
+    for short texts; from counts of binned distances, so no group meets in one task."""
+    mean = known.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("length")) / F.sum("length")).alias("mean"))
+    long, far = F.col("length") >= LONG, F.col("entropy") - F.col("mean")
+    step = F.ceil(F.when(long, far).otherwise(far * F.sqrt("length")) / STEP)
+    bins = known.join(F.broadcast(mean), "lang").groupBy("lang", "mean", long.alias("long"), step.alias("bin")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy("lang", "long")
+    upto = F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tails = bins.withColumn("upto", upto).withColumn("all", F.sum("n").over(group)).filter(F.col("upto") >= TAIL * F.col("all"))
+    tails = tails.groupBy("lang", "mean", "long").agg((F.min("bin") * STEP).alias("tail"))
+    of = lambda long: F.greatest(MARGIN * F.coalesce(F.max(F.when(F.col("long") == long, F.col("tail"))), F.lit(0.0)), F.lit(LEAST_GAP if long else 0.0))
+    return tails.groupBy("lang", "mean").agg(of(True).alias("gap"), of(False).alias("short")).select("lang", (F.col("mean") + F.col("gap")).alias("limit"), "short")
 
 
 def apply(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
-    """docs with lang_pred, score, entropy, length and rejected, each name after the prefix."""
+    """docs with lang_pred, score, entropy and length, each name after the prefix."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ("lang_pred string", "score double", "entropy double", "length long", "rejected boolean")
+    fields = ("lang_pred string", "score double", "entropy double", "length long")
     return add_columns(docs, lambda texts: sent.value.predict(TextsOf(texts)), ", ".join(prefix + f for f in fields), ["text"])
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """Learn from docs and predict each row: adds held_out and the columns of ``apply``."""
-    out = apply(docs, train(docs))
+def judged(docs: DataFrame, prefix: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """Learn from docs and score each row once; adds the columns of ``apply`` and rejected."""
+    name = lambda x: F.col(prefix + x)
+    model = train(docs)
+    out = apply(docs, model, prefix).withColumn(f"{prefix}right", learned() & (F.col("lang").cast("string") == name("lang_pred")))
+    out = materialise(out.drop(*without), "lang-scored")
+    if not model.langs:
+        return out.drop(f"{prefix}right").withColumn(f"{prefix}rejected", F.lit(False))
+    known = out.filter(name("right")).select(name("lang_pred").alias("lang"), name("entropy").alias("entropy"), name("length").alias("length"))
+    most = limits(known).select(F.col("lang").alias(f"{prefix}lang_pred"), F.col("limit").alias("_limit"), F.col("short").alias("_short"))
+    beyond = name("entropy") > F.col("_limit") + F.col("_short") / F.sqrt(name("length"))
+    rejected = (name("length") == 0) | F.coalesce(beyond, F.lit(False))
+    out = out.join(F.broadcast(most), f"{prefix}lang_pred", "left")  # one row a language
+    return out.withColumn(f"{prefix}rejected", rejected).drop("_limit", "_short", f"{prefix}right")
+
+
+def identify(docs: DataFrame, without: tuple[str, ...] = ()) -> DataFrame:
+    """Learn from docs and predict each row: adds held_out, rejected and the columns of
+    ``apply``; columns in ``without`` aren't handed on."""
+    out = judged(docs, "", without)
     return out.withColumn("held_out", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows of docs that aren't rejected, with the columns of docs."""
-    return apply(docs, train(docs), "_known_").filter(~F.col("_known_rejected")).select(*docs.columns)
+    return judged(docs, "_known_").filter(~F.col("_known_rejected")).select(*docs.columns)

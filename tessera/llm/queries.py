@@ -56,7 +56,7 @@ def op7_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(with_package(spark), sf_dir, "documents").select("doc_id", "text", "lang")
-    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
+    return langid.identify(docs, without=("text",)).select("doc_id", "held_out", "lang_pred", "score", "entropy", "rejected")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,3 +124,28 @@ def test_rare_languages_stay_beside_a_frequent_one(spark):
     assert len(model.logp[4].lang) == len(grams) > 60_000
     rare = [d for d in train if d[2] != "big"]
     assert model.predict([d[1] for d in rare])[0] == [d[2] for d in rare]
+
+
+def test_letters_beyond_the_second_plane():
+    assert langid.encode("\U00030000\U00031000 \U00020000").size == 5 and langid.encode("\U000e0001").size == 0
+
+
+def test_limits_are_those_of_all_documents(spark):
+    rng = random.Random(8)
+    rows = [("a", 2 + rng.gauss(0, 0.3), rng.randint(1, 600)) for _ in range(5_000)] + [("b", 3.5, 10), ("c", 2.0, 500), ("c", 2.4, 500)]
+    got = {r.lang: (r["limit"], r.short) for r in langid.limits(spark.createDataFrame(rows, "lang string, entropy double, length long")).collect()}
+    for lang in "abc":
+        own = [(e, n) for x, e, n in rows if x == lang]
+        mean = sum(e * n for e, n in own) / sum(n for _, n in own)
+        tail = lambda x: sorted(x)[math.ceil(0.999 * len(x)) - 1] if x else 0.0
+        gap = max(langid.LEAST_GAP, 2 * tail([e - mean for e, n in own if n >= 200]))
+        short = max(0.0, 2 * tail([(e - mean) * math.sqrt(n) for e, n in own if n < 200]))
+        assert math.isclose(got[lang][0], mean + gap, abs_tol=0.01) and math.isclose(got[lang][1], short, abs_tol=0.01)
+
+
+def test_a_rare_language_rejects_noise(spark):
+    rng = random.Random(5)
+    docs = [(3 * k, " ".join(rng.choices(WORDS["xx"], k=40)), "xx", "") for k in range(400)]
+    docs += [(10_000 + k, " ".join(rng.choices(WORDS["zz"], k=40)), "zz", "") for k in range(4)] + [(20_000, "".join(rng.choices("бвгджзлнпртфхцчшщъыьэюя ", k=400)), None, "")]
+    by = {r.doc_id: r for r in langid.identify(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert by[20_000].lang_pred == "zz" and by[20_000].rejected and not any(r.rejected for k, r in by.items() if k < 20_000)
