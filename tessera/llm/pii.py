@@ -8,18 +8,18 @@ outside by definition. Node potentials are logistic weights of binary shape and
 features. Neighbouring nodes share chain potentials; nodes with equal or similar tokens (same
 text, same last seven digits, same local part), however distant, share skip potentials,
 linked each to the next such node so that edges grow with the nodes. Loopy belief
-propagation runs over a batch of documents at once until no message moves by ``SETTLED``;
+propagation runs over documents of about ``NODES`` nodes at once (a longer one alone) until no
+message moves by ``SETTLED``;
 each round only renews the messages whose sources have moved, so a base span reaches the
 last of any number of repeats. Tokens of base spans are clamped to
 their kind, and what they say spreads along skip edges. A token is added if its marginal
 for one kind is at least ``SURE``.
 
 The field is trained piecewise on base spans over all documents: Spark counts distinct
-(features, label) patterns and label pairs on edges; the weights are fitted to these counts.
-A token without a base label that a skip edge links to one with a label counts as unknown
+(features, label) patterns and label pairs on edges; the weights are fitted to all of these
+counts by Newton steps, whose sums are taken on the driver for up to ``HELD`` patterns and in
+Spark beyond, with equal results. A token without a base label that a skip edge links to one with a label counts as unknown
 there, not as outside.
-The most frequent ``MOST_PATTERNS`` feature patterns are used, a bound on the model's size
-and on what reaches the driver.
 
 Defined cases: null text is empty; base spans are always kept as they are; an added span
 never overlaps one of a base kind; repeated rows give equal results; an empty table gives
@@ -36,18 +36,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import add_columns, materialise
+from tessera.llm.common import TextsOf, add_columns, materialise
 from tessera.llm.spans import PERSONAL, base_spans, luhn
 
 LABELS = ("none", *PERSONAL)
-MOST_PATTERNS = 50_000
+#: Feature patterns that the driver holds at most; nodes and edges worked on at once.
+HELD, NODES, EDGES = 50_000, 20_000, 100_000
 SURE, DAMP, SETTLED = 0.9, 0.5, 1e-4
 #: A message renewed more often than this swings on a loop: from there on its steps shrink.
 SWINGS, SHRINK = 200, 0.98
-STRONGEST, UNLIKE = 4.0, -3.0
+STRONGEST = 4.0
+#: Like tokens far apart share labels at least, and unlike ones at most, by these log-potentials.
+LIKE, UNLIKE = 6.0, -6.0
 NEAR = 2  # tokens between chain neighbours at most
-_TOKEN = re.compile(r"\S+")
-_SITE = re.compile(r"\S*[0-9@]\S*")
+# Starts only where a token starts, and possessive, so that no run is tried twice.
+_SITE = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 # Words that announce a kind.
 CUES = {
     "email": ("mail", "email", "e-mail", "contact", "write", "reply"),
@@ -68,6 +71,7 @@ class Nodes:
     label: np.ndarray
     keys: list[tuple]
     gap: np.ndarray
+    spans: list[tuple[int, int, str]]
 
 
 def token_features(token: str) -> tuple[list[bool], str]:
@@ -80,7 +84,7 @@ def token_features(token: str) -> tuple[list[bool], str]:
 
 
 def nodes_of(text: str) -> Nodes:
-    """Nodes of a text with their features, base labels (-1: not of one span) and keys."""
+    """Nodes of a text with their features, base labels, keys and the base spans."""
     starts, ends, rows, keys = [], [], [], []
     spans = base_spans(text, PERSONAL)
     for m in _SITE.finditer(text):
@@ -118,7 +122,7 @@ def nodes_of(text: str) -> Nodes:
     for s, e, kind in spans:
         lo, hi = np.searchsorted(end, s, "right"), np.searchsorted(start, e)
         label[lo:hi] = LABELS.index(kind)
-    return Nodes(start, end, np.hstack([shape, side]), label, keys, gap)
+    return Nodes(start, end, np.hstack([shape, side]), label, keys, gap, spans)
 
 
 TOKEN_WIDE = len(SIZES) + 15 + len(CUES)
@@ -145,17 +149,13 @@ class Field:
     skip: np.ndarray
 
     @classmethod
-    def fit(cls, patterns: list[tuple[bytes, np.ndarray]], pairs: dict[str, np.ndarray]) -> Field:
-        """patterns: packed features with counts by label; pairs: counts of label pairs."""
-        bits = np.array([np.unpackbits(np.frombuffer(b, np.uint8))[:WIDE] for b, _ in patterns], float).reshape(-1, WIDE)
-        x = np.hstack([bits, np.ones((len(bits), 1))])
-        n = np.array([c for _, c in patterns], float).reshape(-1, len(LABELS))
+    def fit(cls, sums, pairs: dict[str, np.ndarray]) -> Field:
+        """sums: weights -> ``newton_sums`` over all patterns; pairs: counts of label pairs."""
         weights = np.zeros((WIDE + 1, len(LABELS)))
-        for k in range(1, len(LABELS)):
-            weights[:, k] = weighted_logistic(x, n[:, k], n[:, 0])
-        # chance alone says little about rare kinds: unlike labels on a skip edge are held to be unlikely
+        weights[:, 1:] = newton(sums)
+        # counts say little about rare kinds: like tokens are held to be one entity
         skip = association(pairs["skip"])
-        skip = np.where(np.eye(len(LABELS), dtype=bool), skip, np.minimum(skip, UNLIKE))
+        skip = np.where(np.eye(len(LABELS), dtype=bool), np.maximum(skip, LIKE), np.minimum(skip, UNLIKE))
         return cls(weights, association(pairs["chain"]), skip)
 
     def marginals(self, bits: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
@@ -167,14 +167,27 @@ class Field:
         return propagate(score, [(chain, self.chain), (skip, self.skip)])
 
 
-def weighted_logistic(x: np.ndarray, yes: np.ndarray, no: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    w, n = np.zeros(x.shape[1]), yes + no
+def newton_sums(patterns: list[bytes], n: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradients and curvatures, in one row, of each kind's logistic regression against
+    outside. patterns: packed features; n: their counts by label; w: weights by kind."""
+    x = np.unpackbits(np.frombuffer(b"".join(patterns), np.uint8).reshape(len(patterns), -(-WIDE // 8)), axis=1)[:, :WIDE]
+    x = np.hstack([x, np.ones((len(x), 1))])
+    out = []
+    for k in range(w.shape[1]):
+        p, all_ = 1 / (1 + np.exp(-np.clip(x @ w[:, k], -30, 30))), n[:, 0] + n[:, k + 1]
+        out += [x.T @ (n[:, k + 1] - all_ * p), ((x * (all_ * p * (1 - p))[:, None]).T @ x).ravel()]
+    return np.concatenate(out)
+
+
+def newton(sums, ridge: float = 1.0) -> np.ndarray:
+    wide, kinds = WIDE + 1, len(LABELS) - 1
+    w = np.zeros((wide, kinds))
     for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (yes - n * p) - ridge * w)
+        parts = sums(w).reshape(kinds, wide * (wide + 1))
+        steps = [np.linalg.solve(p[wide:].reshape(wide, wide) + ridge * np.eye(wide), p[:wide] - ridge * w[:, k]) for k, p in enumerate(parts)]
+        step = np.stack(steps, 1)
         w += np.clip(step, -3, 3)
-        if np.abs(step).max(initial=0) < 1e-6:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
@@ -196,14 +209,17 @@ def propagate(score: np.ndarray, kinds: list[tuple[np.ndarray, np.ndarray]]) ->
     table, of = np.stack([t for _, t in kinds]), np.repeat(np.arange(len(kinds)), [2 * len(e) for e, _ in kinds])
     leaving = np.argsort(a, kind="stable")  # the messages of node k: leaving[first[k]:first[k + 1]]
     first = np.searchsorted(a[leaving], np.arange(len(score) + 1))
-    message, renewed = np.zeros((len(a), score.shape[1])), np.zeros(len(a), np.int64)
+    message, renewed = np.full((len(a), score.shape[1]), -np.log(score.shape[1])), np.zeros(len(a), np.int64)
     belief = score.copy()
     live = np.arange(len(a))
     while len(live):
-        out = belief[a[live]] - message[back[live]]
-        new = logsumexp(out[:, :, None] + table[of[live]], 1)
-        new -= logsumexp(new, 1)[:, None]
-        step = (new - message[live]) * ((1 - DAMP) * SHRINK ** np.maximum(renewed[live] - SWINGS, 0))[:, None]
+        step = np.empty((len(live), score.shape[1]))
+        for k in range(0, len(live), EDGES):  # the sources' beliefs stay as they are until all are renewed
+            some = live[k : k + EDGES]
+            out = belief[a[some]] - message[back[some]]
+            new = logsumexp(out[:, :, None] + table[of[some]], 1)
+            new -= logsumexp(new, 1)[:, None]
+            step[k : k + EDGES] = (new - message[some]) * ((1 - DAMP) * SHRINK ** np.maximum(renewed[some] - SWINGS, 0))[:, None]
         renewed[live] += 1
         message[live] += step
         np.add.at(belief, b[live], step)
@@ -252,8 +268,32 @@ def train(docs: DataFrame) -> Field:
     for r in counts.filter("what <> 'node'").collect():
         pairs[r.what][r.a, r.b] = r.n
     by = [F.sum(F.when(F.col("a") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(LABELS))]
-    rows = counts.filter("what = 'node'").groupBy("pattern").agg(F.sum("n").alias("all"), *by).orderBy(F.desc("all"), "pattern").limit(MOST_PATTERNS).collect()
-    return Field.fit([(bytes(r.pattern), np.array(r[2:], float)) for r in rows], pairs)
+    patterns = materialise(counts.filter("what = 'node'").groupBy("pattern").agg(*by), "pii-patterns")
+    if patterns.count() > HELD:
+        return Field.fit(lambda w: summed(patterns, w), pairs)
+    rows = patterns.toArrow()
+    held, n = rows["pattern"].to_pylist(), counts_of(rows)
+    return Field.fit(lambda w: newton_sums(held, n, w), pairs)
+
+
+def counts_of(rows) -> np.ndarray:
+    return np.stack([rows[f"n{k}"].to_numpy().astype(float) for k in range(len(LABELS))], 1) if rows.num_rows else np.zeros((0, len(LABELS)))
+
+
+def summed(patterns: DataFrame, w: np.ndarray) -> np.ndarray:
+    """``newton_sums`` over a table of patterns."""
+
+    def run(batches):
+        out = None
+        for batch in batches:
+            part = newton_sums(batch["pattern"].to_pylist(), counts_of(pa.Table.from_batches([batch])), w)
+            out = part if out is None else out + part
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["v"])
+
+    parts = patterns.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("k", "v"))
+    rows = parts.groupBy("k").agg(F.sum("v").alias("v")).toArrow().sort_by("k")
+    return rows["v"].to_numpy()
 
 
 def plausible(text: str, kind: str) -> bool:
@@ -268,17 +308,26 @@ def plausible(text: str, kind: str) -> bool:
 
 def find(texts: list, field: Field) -> list[list[tuple[int, int, str, bool]]]:
     """(start, end, kind, base) of each text, by start, then in the order of kinds."""
-    out, parts, base = [], [], []
+    out, waiting, parts, n = [], [], [], 0
     for text in texts:
-        base.append(base_spans(text or "", PERSONAL))
+        waiting.append(text or "")
         parts.append(nodes_of(text or ""))
+        n += len(parts[-1].start)
+        if n >= NODES:
+            out += settled(waiting, parts, field)
+            waiting, parts, n = [], [], 0
+    return out + settled(waiting, parts, field)
+
+
+def settled(texts: list[str], parts: list[Nodes], field: Field) -> list[list[tuple[int, int, str, bool]]]:
     first = np.cumsum([0, *[len(p.start) for p in parts]])
     edges = [edges_of(p) for p in parts]
     chain, skip = (np.concatenate([e[k] + f for e, f in zip(edges, first[:-1], strict=True)]) if parts else np.zeros((0, 2), np.int64) for k in (0, 1))
     if first[-1]:
         belief = field.marginals(np.concatenate([p.bits for p in parts]), np.concatenate([p.label for p in parts]), chain.astype(np.int64), skip.astype(np.int64))
+    out = []
     for k, p in enumerate(parts):
-        found = [(s, e, kind, True) for s, e, kind in base[k]]
+        found = [(s, e, kind, True) for s, e, kind in p.spans]
         own = belief[first[k] : first[k + 1]] if first[-1] else np.zeros((0, len(LABELS)))
         best = own.argmax(1)
         sure = (best > 0) & (p.label == 0) & (own.max(1, initial=0) >= SURE)
@@ -300,6 +349,6 @@ def scan(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(train(docs))
 
     def make(texts):
-        return [[[{"start": s, "end": e, "kind": k, "base": b} for s, e, k, b in own] for own in find(texts.to_pylist(), sent.value)]]
+        return [[[{"start": s, "end": e, "kind": k, "base": b} for s, e, k, b in own] for own in find(TextsOf(texts), sent.value)]]
 
     return add_columns(docs, make, "found array<struct<start long, end long, kind string, base boolean>>", ["text"])

@@ -54,7 +54,8 @@ def emails(text: str) -> list[Span]:
 def ips(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return []
-    return [m.span() for m in _IP(text) if all(len(p) < 12 + len(p) - len(p.lstrip("0")) and int(p) <= 255 for p in m[0].split("."))]
+    parts = lambda m: (p.lstrip("0") for p in m[0].split("."))
+    return [m.span() for m in _IP(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts(m))]
 
 
 def luhn(digits: str) -> bool:
@@ -94,6 +95,7 @@ def accesses(text: str) -> list[Span]:
 def hexes(text: str) -> list[Span]:
     return [m.span() for m in _HEX(text)]
 
+
 FINDERS = {"email": emails, "ip": ips, "card": cards, "phone": phones, "assign": assigns, "access": accesses, "hex": hexes}
 
 

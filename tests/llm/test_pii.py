@@ -1,7 +1,9 @@
 import itertools
 import random
+import time
 
 import numpy as np
+import pytest
 
 from tessera.llm import pii
 from tessera.llm.spans import PERSONAL, base_spans, luhn
@@ -93,3 +95,52 @@ def test_swinging_messages_end():
     table = np.array([[-4.0, 4.0], [4.0, -4.0]])
     got = pii.propagate(rng.normal(size=(12, 2)), [(pairs, table), (np.zeros((0, 2), int), table)])
     assert np.isfinite(got).all() and np.allclose(got.sum(1), 1)
+
+
+@pytest.mark.parametrize("unit", ["a", "書", "1", "a@", "12 ", "+1-415-555-2671 "])
+def test_a_megabyte_ends_soon(unit):
+    wide = len(pii.LABELS)
+    field = pii.Field(np.zeros((pii.WIDE + 1, wide)), np.zeros((wide, wide)), np.zeros((wide, wide)))
+    text = unit * (1_000_000 // len(unit) if len(unit) == 1 else 100_000 // len(unit))
+    began = time.time()
+    pii.find([text], field)
+    assert time.time() - began < 5
+
+
+def test_blocks_of_documents_and_edges_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    wide = len(pii.LABELS)
+    field = pii.Field(rng.normal(size=(pii.WIDE + 1, wide)), rng.normal(size=(wide, wide)), pii.STRONGEST * np.eye(wide))
+    texts = [t for _, t, _ in corpus()[:60]]
+    whole = pii.find(texts, field)
+    monkeypatch.setattr(pii, "NODES", 3)
+    monkeypatch.setattr(pii, "EDGES", 2)
+    assert pii.find(texts, field) == whole
+
+
+def test_weights_of_any_number_of_patterns(spark, monkeypatch):
+    """Sums in Spark give the weights that sums on the driver give; no pattern is left out."""
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    held = pii.train(docs)
+    monkeypatch.setattr(pii, "HELD", 0)
+    far = pii.train(docs)
+    assert np.allclose(held.weights, far.weights, atol=1e-6) and np.abs(held.weights).max() > 1
+
+
+def test_recall_of_added_spans(spark):
+    """Numbers repeated without their prefix, which no pattern finds, and look-alikes alone."""
+    rng = random.Random(12)
+    docs, bare = [], {}
+    for k in range(300):
+        number = f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        words = rng.choices(["some", "plain", "words", "here", "7", "12", "2.0", "v3", "2026-01-02"], k=40)
+        words[5] = f"+1-{number}" if k % 10 else number  # in every tenth document no base span supports it
+        if k % 10:
+            words[25] = number
+            if base_spans(" ".join(words), PERSONAL):
+                bare[k] = number
+        docs.append((k, " ".join(words), "x"))
+    rows = {r.doc_id: r for r in pii.scan(spark.createDataFrame(docs, SCHEMA)).collect()}
+    added = {k: [r.text[f.start : f.end] for f in r.found if not f.base] for k, r in rows.items()}
+    assert sum(bare[k] in added[k] for k in bare) >= 0.9 * len(bare)
+    assert len(bare) > 150 and not any(v for k, v in added.items() if k not in bare)

@@ -56,3 +56,8 @@ def test_long_runs_take_linear_time(unit):
     for find in spans.FINDERS.values():
         find(text)
     assert time.time() - began < 5
+
+
+def test_octets_of_thousands_of_digits():
+    zeros = "0" * 5_000
+    assert spans.ips(f"{zeros}1.2.3.4") == [(0, 5_007)] and spans.ips(f"1.{'9' * 5_000}.3.4") == [] and spans.ips(f"{zeros}.0.00.255") == [(0, 5_009)]
