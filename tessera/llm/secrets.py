@@ -20,6 +20,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 
@@ -30,6 +31,7 @@ ADDED = ("jwt", "pem", "der", "ssh", "encoded")
 KINDS = SECRET + ADDED
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{4,}+\.[A-Za-z0-9_-]*+")
 _BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----")
+_END = re.compile(r"-----END ([A-Z0-9 ]{0,40})-----")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{22,}+)={0,2}")
 _NEXT = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]++)(={0,2})")
 _ESCAPED = re.compile(r"(?:\\+r)?\\+n|\\+r")
@@ -152,40 +154,63 @@ def key_kind(data: bytes) -> str | None:
 
 
 def pem_blocks(text: str) -> list[tuple[int, int]]:
-    out, at, open_ = [], 0, set()
-    while m := _BEGIN.search(text, at):
-        at = m.end()
-        end = text.find(f"-----END {m[1]}-----", at) if m[1] not in open_ else -1
-        if end < 0:
-            open_.add(m[1])
+    """Private keys from a line that begins one to the next that ends one of its label, with
+    no other beginning between; every beginning and end is looked at once."""
+    ends: dict[str, list[int]] = {}
+    for m in _END.finditer(text):
+        ends.setdefault(m[1], []).append(m.start())
+    begins = list(_BEGIN.finditer(text)) if ends else []
+    out, done = [], 0
+    for m, next_ in zip(begins, [*(x.start() for x in begins[1:]), len(text)], strict=False):
+        own = ends.get(m[1], [])
+        k = bisect_left(own, m.end())
+        if m.start() < done or k == len(own) or own[k] > next_ or "PRIVATE" not in m[1]:
             continue
-        body = text[m.end() : end]
+        body = text[m.end() : own[k]]
         plain = "\n".join(x.strip(" \t") for x in body.replace("\r", "").split("\n"))
         if "\n\n" in plain.strip("\n"):  # headers come before a blank line
             plain = plain.strip("\n").split("\n\n", 1)[1]
         data = from_base64("".join(plain.split()))
-        secret = "PRIVATE" in m[1] and data and (key_kind(data) or ("ENCRYPTED" in body and len(data) >= 16))
-        if secret:
-            at = end + len(f"-----END {m[1]}-----")
-            out.append((m.start(), at))
+        if data and (key_kind(data) or ("ENCRYPTED" in body and len(data) >= 16)):
+            done = own[k] + len(f"-----END {m[1]}-----")
+            out.append((m.start(), done))
     return out
 
 
+def apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans in order, those that meet joined."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def meets(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of the spans, in order and apart, meets this one."""
+    k = bisect_left(spans, (end, 0)) - 1
+    return k >= 0 and start < spans[k][1]
+
+
 def wrapped(text: str, m: re.Match) -> list[tuple[str, int]]:
-    """(run, end) of the runs that begin with this one and go on in the next lines, longest first."""
+    """(run, end) of the runs that begin with this one and go on in the next lines, longest
+    first. Where the first bytes are those of a sequence, its length says which line is last."""
+    head = from_base64(m[1][:8])
+    most = 0
+    if head and head[0] == 0x30:
+        wide = head[1] & 0x7F if head[1] & 0x80 else 0
+        size = 2 + wide + (int.from_bytes(head[2 : 2 + wide]) if wide else head[1]) if wide <= 4 else 0
+        most = -(-(-(-size * 4 // 3)) // len(m[1]))
     parts, ends, at = [m[1]], [m.end()], m.end()
-    while m.end() == m.end(1) and (n := _NEXT.match(text, at)) and len(n[1]) <= len(m[1]):
+    while m.end() == m.end(1) and (not most or len(parts) <= most) and (n := _NEXT.match(text, at)) and len(n[1]) <= len(m[1]):
         parts.append(n[1])
         ends.append(at := n.end())
         if len(n[1]) < len(m[1]) or n[2]:
             break
     out = {len(parts), len(parts) - 1} - {0, 1}
-    head = from_base64(m[1][:8])
-    if len(parts) > 1 and head and head[0] == 0x30:  # its length says where it ends
-        wide = head[1] & 0x7F if head[1] & 0x80 else 0
-        size = 2 + wide + (int.from_bytes(head[2 : 2 + wide]) if wide else head[1]) if wide <= 4 else 0
-        k = -(-(-(-size * 4 // 3)) // len(m[1]))
-        out |= {k} if 1 < k < len(parts) else set()
+    out |= {most} if 1 < most < len(parts) else set()
     return [("".join(parts[:k]), ends[k - 1]) for k in sorted(out, reverse=True)]
 
 
@@ -209,8 +234,8 @@ def confirmed(text: str, depth: int = 0) -> list[tuple[int, int, str]]:
         plain = _ESCAPED.sub(lambda m: " " * (len(m[0]) - 1) + "\n", text)
         if plain != text:
             more = confirmed_in(plain, depth)
-            known = [(s, e) for s, e, _ in more]
-            out = more + [x for x in out if not any(s <= x[0] and x[1] <= e or x[0] <= s and e <= x[1] for s, e in known)]
+            known = apart([x[:2] for x in more])
+            out = more + [x for x in out if not meets(known, *x[:2])]
     return out
 
 
@@ -221,7 +246,7 @@ def confirmed_in(text: str, depth: int) -> list[tuple[int, int, str]]:
         out += [(*m.span(), "jwt") for m in _TOKEN.finditer(text) if signed_token(m[0])]
     done = tried = 0  # the ends of what was found, and of the lines tried together
     for m in _RUN.finditer(text):
-        if m.start() < done or any(s <= m.start() < e for s, e in inside):
+        if m.start() < done or meets(inside, m.start(), m.start() + 1):
             continue
         longer = wrapped(text, m) if m.start() >= tried or m[1].startswith(_STARTS) else []
         if longer:

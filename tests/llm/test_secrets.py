@@ -1,6 +1,9 @@
 import base64
 import json
 import os
+import time
+
+import pytest
 
 from tessera.llm.secrets import confirmed, der, der_key, scan, secrets, ssh_key
 
@@ -78,3 +81,16 @@ def test_short_wrapped_and_escaped_runs():
         assert kinds(f'{{"private_key": "{pem}{end}"}}') == [("pem", pem)]
     for data in (PUBLIC, RSA[:-3], os.urandom(200)):
         assert confirmed("\n".join(b64(data)[k : k + 64] for k in range(0, len(b64(data)), 64))) == []
+
+
+@pytest.mark.parametrize("text", ["".join(f"-----BEGIN {k} PRIVATE KEY-----x" for k in range(40_000)), "-----BEGIN A PRIVATE KEY-----abcd\n" * 30_000 + "-----END A PRIVATE KEY-----", "".join(f"-----BEGIN {k}-----\n-----END {k}-----\\n" for k in range(20_000)), (b64(EC) + "\n" + "M" * 64 + "\n") * 2_000, f"{JWT}\\n " * 4_000])
+def test_many_labels_keys_and_tokens_take_linear_time(text):
+    began = time.time()
+    confirmed(text)
+    assert time.time() - began < 8
+
+
+def test_a_key_after_an_open_beginning():
+    body = "\n".join(b64(RSA)[k : k + 64] for k in range(0, len(b64(RSA)), 64))
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY----- {pem} {pem}") == [("pem", pem)] * 2
