@@ -135,7 +135,7 @@ def fit(docs: DataFrame, known: DataFrame) -> Classifier | None:
     """The classifier of a bounded sample of the labelled documents; None without any."""
     n = known.count()
     share = min(1.0, SAMPLE_DOCS / max(1, n))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    picked = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= min(int(share * 2**63), 2**63 - 1))
     sample = materialise(docs.select("doc_id", "text").join(maybe_broadcast(picked, int(n * share)), "doc_id").select("text", *[f"label_{h}" for h in HEADS]), "quality-sample")
     schema = pa.schema([("word", pa.string()), *[(f"label_{h}", pa.float64()) for h in HEADS]])
 

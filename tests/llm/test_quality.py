@@ -86,3 +86,55 @@ def test_edges(spark):
     assert all(r.keep for r in run(spark, docs[:5], []))
     assert run(spark, [], labels) == []
     assert len(run(spark, docs[:20], [(k, 1, 0) for k in range(10)])) == 20
+
+
+def test_classifier_equals_brute_force(spark):
+    """Words by their likelihood ratio, shapes in bins, and the weights at which the
+    penalised likelihood is flat, all from plain loops."""
+    docs, labels = corpus()
+    known = quality.clean_labels(spark.createDataFrame(labels, LABELS))
+    model = quality.fit(spark.createDataFrame(docs, DOCS), known)
+    value = {k: (q, t) for k, q, t in labels}
+    sample = [(t, value[k]) for k, t, *_ in docs if k in value]
+    for head in (0, 1):
+        have, texts = {}, [(set(quality.words_of(t)), v[head]) for t, v in sample]
+        n = [sum(y == side for _, y in texts) for side in (0, 1)]
+        for words, y in texts:
+            for w in words:
+                have.setdefault(w, [0, 0])[y] += 1
+        want = {}
+        for w, (b, a) in have.items():
+            cells = [(a, n[1]), (b, n[0]), (n[1] - a, n[1]), (n[0] - b, n[0])]
+            shares = [(a + b) / sum(n)] * 2 + [1 - (a + b) / sum(n)] * 2
+            g = 2 * sum(c * np.log(c / (m * s)) for (c, m), s in zip(cells, shares, strict=True) if c)
+            if a + b >= quality.LEAST_DOCS and g >= quality.LEAST_RATIO:
+                want[w] = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+        assert model.words[head].keys() == want.keys() and all(abs(model.words[head][w] - v) < 1e-9 for w, v in want.items())
+        shapes = [quality.shape(t, quality.words_of(t)) for t, _ in sample]
+        edges = [np.quantile([s[k] for s in shapes], [q / 8 for q in range(1, 8)]) for k in range(quality.SHAPES)]
+        x = []
+        for (words, _), s in zip(texts, shapes, strict=True):
+            up, down = [want[w] for w in words if want.get(w, 0) > 0], [want[w] for w in words if want.get(w, 0) < 0]
+            row = [min(sum(up), 20), max(sum(down), -20), np.log1p(len(up)), np.log1p(len(down))]
+            for k, v in enumerate(s):
+                row += [float(sum(v >= e for e in edges[k]) == b) for b in range(8)]
+            x.append([*row, 1.0])
+        x, y, w = np.array(x), np.array([v for _, v in texts]), model.weights[head]
+        slope = x.T @ (y - 1 / (1 + np.exp(-x @ w))) - np.append(np.full(x.shape[1] - 1, quality.RIDGE), 1e-3) * w
+        assert np.abs(slope).max() < 1e-3
+
+        class Text(str):
+            as_py = lambda self: str(self)
+
+        got = model.log_odds([Text(t) for t, _ in sample])[head]
+        assert np.allclose(got, np.clip(x @ w, -30, 30), atol=1e-6)
+
+
+def test_the_sample_keeps_its_bound(spark, monkeypatch):
+    docs, labels = corpus()
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 100)
+    seen = []
+    keep = quality.materialise
+    monkeypatch.setattr(quality, "materialise", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    assert len(run(spark, docs, labels)) == len(docs)
+    assert 50 < dict(seen)["quality-sample"].count() < 150
