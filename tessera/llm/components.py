@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -37,8 +37,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = mark(now)
     while seen[0]:
-        now = materialise(_small(_stars(now)), "edges")
+        before, now = now, materialise(_small(_stars(now)), "edges")
         next_ = mark(now)
+        discard(before)
         if next_ == seen:
             break
         seen = next_
