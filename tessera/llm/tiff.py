@@ -1,16 +1,19 @@
 """TIFF: image directories, strips and tiles, four codecs, predictors; one row a page.
 
 ``read_pages`` walks the chain of directories of a classic TIFF of either byte order,
-fetches the strips or tiles, undoes their compression (none, PackBits, LZW, deflate) and the
-horizontal predictor, and returns each page's samples. ``write_tiff`` stores payloads
+fetches the strips or tiles, undoes bit order, compression (none, PackBits, LZW, deflate) and
+the horizontal predictor, and gives each page's samples. ``write_tiff`` stores payloads
 losslessly; the text query deals a document's bytes into pages of at most ``PAGE`` bytes,
-64 pixels of 3 samples a row, and takes the codec of a page from its place, so that all of
-them are in use.
+64 pixels of 3 samples a row. The first page's style (codec, predictor, strips or tiles) and
+the byte order come from a hash of the payload and the others follow in turn, so that all
+styles serve documents of every length alike. ``pages_of`` reads files back as one row a
+page; ``joined`` puts a file's pages together again as they pass by, without a shuffle.
 
 Defined cases: null text is empty and gives one page of a row of spaces; a null or broken
-file gives one row with its error and no pixels; a directory chain that loops ends where it
-meets a directory again; equal texts give equal files; empty tables give empty results;
-further columns pass through.
+file gives a row with its error and no pixels after those of its pages before; a page whose
+directory promises more samples than its data can hold, or more than ``MOST_SAMPLES``, is
+broken; a directory chain that loops ends where it meets a directory again; equal texts give
+equal files; empty tables give empty results; further columns pass through.
 """
 
 from __future__ import annotations
@@ -18,10 +21,12 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -35,9 +40,14 @@ WIDTH, SAMPLES = 64, 3
 ROW = WIDTH * SAMPLES
 PAGE = 32 * ROW
 STRIP_ROWS = 8
+#: Bytes of pixels in one batch of pages, about.
+BATCH = 8 << 20
 TILE = 16
-#: The codec of each page: the first is packed well and fast; short runs of the others follow.
-CODECS = (ADOBE_DEFLATE, PACKBITS, LZW, ADOBE_DEFLATE, ADOBE_DEFLATE, ADOBE_DEFLATE, NONE, ADOBE_DEFLATE)
+#: Codec, predictor and tiles of pages, in turn.
+STYLES = [(c, p, t) for c, p in ((NONE, 1), (PACKBITS, 1), (LZW, 1), (LZW, 2), (ADOBE_DEFLATE, 1), (ADOBE_DEFLATE, 2)) for t in (False, True)]
+#: What one page may hold, and how many samples a byte of packed data gives at most.
+MOST_SAMPLES, MOST_A_BYTE = 1 << 30, 2048
+TURNED = bytes(int(f"{k:08b}"[::-1], 2) for k in range(256))
 
 
 class TiffError(ValueError):
@@ -55,9 +65,10 @@ class Page:
     pixels: np.ndarray
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, size: int = 1 << 62) -> bytes:
+    """Up to about ``size`` bytes."""
     out, at, n = bytearray(), 0, len(data)
-    while at < n:
+    while at < n and len(out) < size:
         c = data[at]
         if c < 128:
             out += data[at + 1 : at + 2 + c]
@@ -136,8 +147,10 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[np.arange(12) >= (12 - w)[:, None]].astype(np.uint8)).tobytes()
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, size: int = 1 << 62) -> bytes:
+    """Up to about ``size`` bytes."""
     out: list[bytes] = []
+    made = 0
     single = [bytes([k]) for k in range(256)] + [b"", b""]
     table, width, last = list(single), 9, b""
     held, bits = 0, 0
@@ -160,13 +173,16 @@ def lzw_decode(data: bytes) -> bytes:
             last = table[code]
             out.append(last)
             continue
-        if code < len(table):
+        if code < len(table) and code != 256:
             word = table[code]
         elif code == len(table):
             word = last + last[:1]
         else:
             raise TiffError("LZW: a code beyond the table")
         out.append(word)
+        made += len(word)
+        if made >= size:
+            break
         table.append(last + word[:1])
         last = word
         if len(table) >= (1 << width) - 1 and width < 12:
@@ -178,9 +194,9 @@ def decompress(data: bytes, compression: int, size: int) -> bytes:
     if compression == NONE:
         out = data
     elif compression == PACKBITS:
-        out = unpack_bits(data)
+        out = unpack_bits(data, size)
     elif compression == LZW:
-        out = lzw_decode(data)
+        out = lzw_decode(data, size)
     elif compression in (ADOBE_DEFLATE, DEFLATE):
         try:
             out = zlib.decompressobj().decompress(data, size + 1)
@@ -225,32 +241,42 @@ def read_directory(data: bytes, at: int, order: str) -> tuple[dict[int, list], i
 
 
 def read_page(data: bytes, tags: dict[int, list]) -> Page:
-    def one(tag, default=None):
-        value = tags.get(tag, [default])[0]
-        if value is None:
-            raise TiffError(f"tag {tag} is missing")
-        return value
-
-    width, height, samples = one(256), one(257), one(277, 1)
-    compression, predictor, planar = one(259, NONE), one(317, 1), one(284, 1)
-    if any(b != 8 for b in tags.get(258, [1])):
+    def many(tag, default):
+        values = tags.get(tag) or default
+        if not all(isinstance(v, int) and v >= 0 for v in values):
+            raise TiffError(f"tag {tag} holds no whole numbers")
+        return values
+
+    def one(tag, default=None, least=0):
+        values = many(tag, [] if default is None else [default])
+        if not values or values[0] < least:
+            raise TiffError(f"tag {tag} is missing or too small")
+        return values[0]
+
+    width, height, samples = one(256, least=1), one(257, least=1), one(277, 1, 1)
+    compression, predictor, planar, fill = one(259, NONE), one(317, 1), one(284, 1), one(266, 1)
+    if any(b != 8 for b in many(258, [1])):
         raise TiffError("only samples of 8 bits are read")
-    if predictor not in (1, 2) or planar not in (1, 2):
-        raise TiffError("predictor or planar configuration is unknown")
+    if predictor not in (1, 2) or planar not in (1, 2) or fill not in (1, 2):
+        raise TiffError("predictor, planar configuration or fill order is unknown")
     tiled = 322 in tags
-    wide, high = (one(322), one(323)) if tiled else (width, min(one(278, height), max(height, 1)))
-    where, size = tags.get(324 if tiled else 273, []), tags.get(325 if tiled else 279, [])
-    across, down = -(-width // wide) if wide else 0, -(-height // high) if high else 0
+    wide, high = (one(322, least=1), one(323, least=1)) if tiled else (width, min(one(278, height, 1), height))
+    where, size = many(324 if tiled else 273, []), many(325 if tiled else 279, [])
+    across, down = -(-width // wide), -(-height // high)
     planes, depth = (samples, 1) if planar == 2 else (1, samples)
-    if len(where) < across * down * planes or len(size) < len(where) or width * height * samples > 1 << 31:
+    n, held = across * down * planes, across * wide * down * high * samples
+    if len(where) < n or len(size) < n:
         raise TiffError("strips or tiles are missing")
+    if any(w + s > len(data) for w, s in zip(where[:n], size[:n], strict=True)):
+        raise TiffError("a strip or tile lies beyond the file")
+    if held > min(MOST_SAMPLES, MOST_A_BYTE * sum(size[:n]) + wide * high * samples) or wide * high * depth > MOST_A_BYTE * max(size[:n]):
+        raise TiffError("more samples than the data can hold")
     pixels = np.zeros((down * high, across * wide, samples), np.uint8)
-    for k in range(across * down * planes):
+    for k in range(n):
         plane, y, x = k // (across * down), k // across % down, k % across
         rows = high if tiled else min(high, height - y * high)
-        if where[k] + size[k] > len(data):
-            raise TiffError("a strip or tile lies beyond the file")
-        raw = decompress(data[where[k] : where[k] + size[k]], compression, rows * wide * depth)
+        raw = data[where[k] : where[k] + size[k]]
+        raw = decompress(raw.translate(TURNED) if fill == 2 else raw, compression, rows * wide * depth)
         part = np.frombuffer(raw, np.uint8).reshape(rows, wide, depth)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=np.uint8)
@@ -259,19 +285,18 @@ def read_page(data: bytes, tags: dict[int, list]) -> Page:
     return Page(width, height, samples, compression, predictor, tiled, pixels[:height, :width])
 
 
-def read_pages(data: bytes) -> list[Page]:
+def read_pages(data: bytes) -> Iterator[Page]:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("not a classic TIFF")
     (at,) = struct.unpack_from(order + "I", data, 4)
-    pages, seen = [], set()
+    if not at:
+        raise TiffError("no directory")
+    seen = set()
     while at and at not in seen:
         seen.add(at)
         tags, at = read_directory(data, at, order)
-        pages.append(read_page(data, tags))
-    if not pages:
-        raise TiffError("no directory")
-    return pages
+        yield read_page(data, tags)
 
 
 def write_page(pixels: np.ndarray, compression: int, predictor: int, tiled: bool, base: int, order: str) -> tuple[bytes, int]:
@@ -332,48 +357,123 @@ def text_payload(text: str | None) -> tuple[int, bytes]:
 
 def text_tiff(payload: bytes) -> bytes:
     """The payload as pages of 8-bit samples in its own order."""
-    pages = []
+    pages, first = [], xxhash.xxh3_64_intdigest(payload)
     for k, at in enumerate(range(0, len(payload), PAGE)):
         pixels = np.frombuffer(payload[at : at + PAGE], np.uint8).reshape(-1, WIDTH, SAMPLES)
-        codec = CODECS[k % len(CODECS)]
-        pages.append((pixels, codec, 2 if codec == LZW else 1, k % len(CODECS) == 4))
-    return write_tiff(pages)
+        pages.append((pixels, *STYLES[(first + k) % len(STYLES)]))
+    return write_tiff(pages, "<>"[first >> 63])
 
 
 def features(pixels: np.ndarray) -> str:
     """Mean and spread of all samples, share of flat steps between neighbours, entropy."""
     flat = pixels.reshape(-1)
-    n = np.bincount(flat, minlength=256)
-    p = n[n > 0] / len(flat)
-    flat_steps = float((flat[1:] == flat[:-1]).mean()) if len(flat) > 1 else 0.0
-    return f"mean={flat.mean():.4f};sd={flat.std():.4f};flat={flat_steps:.4f};entropy={max(0.0, -(p * np.log2(p)).sum()):.4f}"
+    return described(np.bincount(flat, minlength=256), int((flat[1:] == flat[:-1]).sum()))
+
+
+def described(counts: np.ndarray, flat: int) -> str:
+    n, value = max(1, int(counts.sum())), np.arange(256)
+    mean = float((counts * value).sum()) / n
+    spread = np.sqrt(max(0.0, float((counts * value * value).sum()) / n - mean * mean))
+    p = counts[counts > 0] / n
+    return f"mean={mean:.4f};sd={spread:.4f};flat={flat / max(1, n - 1):.4f};entropy={max(0.0, -(p * np.log2(p)).sum()):.4f}"
 
 
 PAGE_FIELDS = "page long, width long, height long, samples long, compression long, predictor long, tiled boolean, pixels binary, feature string, error string"
 
 
 def pages_of(files: DataFrame, column: str = "media") -> DataFrame:
-    """One row for each page of the TIFF file in a binary column; other columns repeat."""
+    """One row for each page of the TIFF file in a binary column, in their order; other
+    columns repeat, the file itself is left out."""
     new = T._parse_datatype_string(PAGE_FIELDS)
-    kept = files.drop(*new.names).schema.fields
+    kept = [f for f in files.schema.fields if f.name not in (column, *new.names)]
     names = [f.name for f in kept]
-    at = names.index(column)
+    kinds = _arrow_types(new)
+
+    def rows_of(data):
+        k = 0
+        try:
+            for k, p in enumerate(read_pages(data), 1):
+                yield k - 1, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), features(p.pixels), None
+        except TiffError as error:
+            yield k, *[None] * 8, str(error)
 
     def run(batches):
         for batch in batches:
+            own, rows, size = [], [], 0
+
+            def made():
+                columns = [c.take(pa.array(own)) for c in batch.columns[:-1]]
+                return pa.RecordBatch.from_arrays([*columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[*names, *new.names])
+
             for k in range(batch.num_rows):
-                data = batch.column(at)[k].as_py()
-                try:
-                    pages = read_pages(data or b"")
-                    rows = [(i, p.width, p.height, p.samples, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), features(p.pixels), None) for i, p in enumerate(pages)]
-                except TiffError as error:
-                    rows = [(0, *[None] * 8, str(error))]
-                own = batch.slice(k, 1)
-                columns = [pa.concat_arrays([c] * len(rows)) for c in own.columns]
-                made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(_arrow_types(new))]
-                yield pa.RecordBatch.from_arrays([*columns, *made], names=[*names, *new.names])
+                for row in rows_of(batch.column(len(names))[k].as_py() or b""):
+                    own.append(k)
+                    rows.append(row)
+                    size += len(row[7] or b"")
+                    if size > BATCH:
+                        yield made()
+                        own, rows, size = [], [], 0
+            if rows:
+                yield made()
+
+    return files.select(*names, column).mapInArrow(run, T.StructType(kept + new.fields))
+
+
+def joined(pages: DataFrame) -> DataFrame:
+    """The other columns of ``pages_of``, once a file, with payload_bytes, payload_sha256,
+    tail_crc32, n_pages, feature and error of its pages' samples. Reads pages as ``pages_of``
+    leaves them: a file's own stand one after another in one task."""
+    old = T._parse_datatype_string(PAGE_FIELDS).names
+    kept = [f for f in pages.schema.fields if f.name not in old]
+    new = T._parse_datatype_string("payload_bytes long, payload_sha256 string, tail_crc32 long, n_pages long, feature string, error string")
+    names, kinds = [f.name for f in kept], _arrow_types(new)
 
-    return files.select(*names).mapInArrow(run, T.StructType(kept + new.fields))
+    def run(batches):
+        first, file = None, None
+
+        def made():
+            values = [pa.array([v], t) for v, t in zip(file.values(), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*first.columns, *values], names=[*names, *new.names])
+
+        ready: list[pa.RecordBatch] = []
+        for batch in batches:
+            at = {n: batch.schema.get_field_index(n) for n in ("page", "pixels", "error")}
+            for k, page in enumerate(batch.column(at["page"]).to_pylist()):
+                if page == 0:
+                    if first is not None:
+                        ready.append(made())
+                    first, file = batch.select(names).slice(k, 1), Samples()
+                file.add(batch.column(at["pixels"])[k].as_py(), batch.column(at["error"])[k].as_py())
+            if ready:
+                yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
+                ready = []
+        if first is not None:
+            yield made()
+
+    return pages.select(*names, "page", "pixels", "error").mapInArrow(run, T.StructType(kept + new.fields))
+
+
+class Samples:
+    """Digests of a file's samples, page by page; no page is held."""
+
+    def __init__(self):
+        self.sha, self.size, self.tail, self.pages, self.error = hashlib.sha256(), 0, b"", 0, None
+        self.counts, self.flat = np.zeros(256, np.int64), 0
+
+    def add(self, pixels: bytes | None, error: str | None) -> None:
+        self.error = self.error or error
+        if pixels is None:
+            return
+        flat = np.frombuffer(self.tail[-1:] + pixels, np.uint8)
+        self.flat += int((flat[1:] == flat[:-1]).sum())
+        self.counts += np.bincount(np.frombuffer(pixels, np.uint8), minlength=256)
+        self.sha.update(pixels)
+        self.size += len(pixels)
+        self.tail = (self.tail + pixels)[-16:]
+        self.pages += 1
+
+    def values(self) -> tuple:
+        return self.size, self.sha.hexdigest(), zlib.crc32(self.tail), self.pages, described(self.counts, self.flat), self.error
 
 
 def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
@@ -382,20 +482,22 @@ def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
     return [f.type for f in to_arrow_schema(schema)]
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """docs with the text stored as TIFF and read back: n_bytes, payload_bytes,
-    payload_sha256, tail_crc32, media, media_bytes, media_sha256, n_pages, feature."""
+def stored(docs: DataFrame) -> DataFrame:
+    """docs with the text stored as TIFF: n_bytes, media, media_bytes, media_sha256."""
 
     def make(texts):
-        out = [[] for _ in range(9)]
+        out = [[] for _ in range(4)]
         for text in texts:
             n, payload = text_payload(text.as_py())
             media = text_tiff(payload)
-            pages = read_pages(media)
-            back = b"".join(p.pixels.tobytes() for p in pages)
-            row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), media, len(media), hashlib.sha256(media).hexdigest(), len(pages), features(np.frombuffer(back, np.uint8)))
-            for column, value in zip(out, row, strict=True):
+            for column, value in zip(out, (n, media, len(media), hashlib.sha256(media).hexdigest()), strict=True):
                 column.append(value)
         return out
 
-    return add_columns(docs, make, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, media_bytes long, media_sha256 string, n_pages long, feature string", ["text"])
+    return add_columns(docs, make, "n_bytes long, media binary, media_bytes long, media_sha256 string", ["text"])
+
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and the digests of its text stored as TIFF and read back page by page: n_bytes,
+    media_bytes, media_sha256 and the columns of ``joined``."""
+    return joined(pages_of(stored(docs.select("doc_id", "text")).drop("text")))
