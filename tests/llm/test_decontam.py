@@ -1,6 +1,9 @@
+import pickle
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from tessera.llm import decontam
@@ -46,21 +49,48 @@ def cases():
 @pytest.mark.parametrize(("n", "shard", "block"), [(5, 1_000_000, 1 << 24), (3, 50, 40)])
 def test_equals_brute_force(spark, monkeypatch, n, shard, block):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "SHARD_WORDS", shard)
     docs, bench = cases()
     df = decontam.mark(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(bench, "item_id long, text string"), n)
     got = sorted([(r.doc_id, r.n_words, r.hits, r["items"], r.longest, r.contaminated) for r in df.collect()], key=repr)
     assert got == brute(docs, bench, n)
 
 
-def test_small_shards_give_the_same(monkeypatch):
+def test_small_shards_and_joins_give_the_same(spark, monkeypatch):
     docs, bench = cases()
-    tests = decontam.Tests.of(bench, 4)
-    texts = [t for _, t, _ in docs]
-    one = decontam.judge(texts, tests, min(tests.windows))
+    df, items = spark.createDataFrame(docs, SCHEMA).coalesce(1), spark.createDataFrame(bench, "item_id long, text string")
     monkeypatch.setattr(decontam, "SHARD_WORDS", 10)
-    many = decontam.judge(texts, tests, min(tests.windows))
-    assert [list(x) for x in one[1]] == [list(x) for x in many[1]]
-    assert one[3] == many[3]
+    monkeypatch.setattr(decontam, "FOUND_BYTES", 0)
+    got = sorted([(r.doc_id, r.n_words, r.hits, r["items"], r.longest, r.contaminated) for r in decontam.mark(df, items, 4).collect()], key=repr)
+    assert got == brute(docs, bench, 4)
+    clean = [str(r[0]) for r in brute(docs, bench, 4) if not r[-1]]
+    assert sorted(str(r.doc_id) for r in decontam.decontaminate(df, items, 4).collect()) == sorted(clean)
+
+
+def test_suffixes_are_sorted_and_found_again():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 4, rng.integers(1, 60)).astype(np.int32) for _ in range(30)]
+    one = decontam.Shard.of([bytes([k]) for k in range(30)], docs, 2, 4, 2)
+    words = one.words.tolist() + [0] * 4
+    suffixes = [words[k : k + 4] for k in one.suffixes]
+    assert suffixes == sorted(suffixes)
+    runs = sum(max(0, len(r) - 1) for d in docs for r in "".join(map(str, d)).split("0"))
+    assert len(suffixes) == runs
+    for begin, doc, at in zip(one.begin, one.doc, one.at, strict=True):
+        assert docs[one.keys[doc][0]][at] == one.words[begin] and (at == 0 or docs[one.keys[doc][0]][at - 1] == 0)
+
+
+def test_a_large_block_takes_little_memory():
+    rng = random.Random(2)
+    rows = [(k, " ".join(f"w{rng.randint(0, 20_000)}" for _ in range(100))) for k in range(4_000)]
+    words = sorted({w for _, t in rows for w in decontam.words_of(t)})
+    vocabulary = {w: k for k, w in enumerate(words, 1)}
+    tracemalloc.start()
+    tests = decontam.Tests.of(rows, vocabulary, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    size = sum(len(t) for _, t in rows)
+    assert len(tests.windows[13].place) == 4_000 * 88 and len(pickle.dumps(tests)) < 8 * size and peak < 80 * size
 
 
 def test_empty_tables_and_removal(spark):
