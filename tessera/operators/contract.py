@@ -1,7 +1,8 @@
-"""Validation of annotations: every rule is a filtered select; findings are their union."""
+"""Validation of annotations: rules are optional structs of a row; findings are those that hold."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,47 +13,52 @@ from tessera.functions.geometry import point_in_polygon
 from tessera.schemas import CLASSES, CROP_CLASS
 
 
-def findings(*rules: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, rules)
+def rule(when: Column, severity: str, kind: str, detail: Column) -> Column:
+    return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), detail.cast("string").alias("detail")))
 
 
-def rule(rows: DataFrame, when: Column, severity: str, kind: str, frame: str, detail: Column) -> DataFrame:
-    return rows.filter(when).select(F.col(frame).alias("frame"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), detail.cast("string").alias("detail"))
+def findings(rows: DataFrame, frame: str, rules: Sequence[Column]) -> DataFrame:
+    """frame, severity, kind, detail of every rule that a row breaks, in one pass."""
+    return rows.select(F.col(frame).alias("frame"), F.inline(F.array_compact(F.array(*rules))))
 
 
 def parse_findings(notes: DataFrame, frame: str = "item_id") -> DataFrame:
     """What can't be read of annotations (as the annotation reader gives them)."""
-    name, shape = F.col("label"), F.col("type")
+    name, shape, n = F.col("label"), F.col("type"), F.coalesce(F.size("points"), F.lit(0))
     known = name.isin(*CLASSES)
     drawn = shape.isin("polygon", "mask", "bbox")
     at = F.concat_ws(":", "label", "type")
     return findings(
-        rule(notes, F.coalesce(F.col("session_id"), F.lit("")) == F.coalesce(F.col(frame), F.lit("")), "error", "unresolvable_session", frame, F.col(frame)),
-        rule(notes, shape.isNotNull() & name.isNull(), "error", "bad_label_id", frame, F.col("label_id")),
-        rule(notes, (name == "weed_LEP") & (F.coalesce(F.size("points"), F.lit(0)) < 2), "error", "empty_lep", frame, at),
-        rule(notes, name.isNotNull() & ~known & ~name.isin("weed_LEP", "ignore_region"), "error", "unknown_label", frame, name),
-        rule(notes, known & (shape == "bbox"), "warning", "bbox_only_instance", frame, at),
-        rule(notes, known & ~drawn, "error", "unsupported_shape", frame, at),
-        rule(notes, known & (shape == "polygon") & (F.coalesce(F.size("points"), F.lit(0)) < 6), "error", "empty_shape", frame, at),
+        notes,
+        frame,
+        [
+            rule(F.coalesce(F.col("session_id"), F.lit("")) == F.coalesce(F.col(frame), F.lit("")), "error", "unresolvable_session", F.col(frame)),
+            rule(shape.isNotNull() & name.isNull(), "error", "bad_label_id", F.col("label_id")),
+            rule((name == "weed_LEP") & (n < 2), "error", "empty_lep", at),
+            rule(name.isNotNull() & ~known & ~name.isin("weed_LEP", "ignore_region"), "error", "unknown_label", name),
+            rule(known & (shape == "bbox"), "warning", "bbox_only_instance", at),
+            rule(known & ~drawn, "error", "unsupported_shape", at),
+            rule(known & (shape == "polygon") & (n < 6), "error", "empty_shape", at),
+        ],
     )
 
 
 def instance_findings(instances: DataFrame, least_area: float = 64.0, near: float = 3.0, require_point: bool = True) -> DataFrame:
     """instances: frame, k, class_name, area, polygon (flat), px, py (null: no point),
     edge_distance, visibility, targetable."""
-    has = F.col("px").isNotNull()
-    outside = has & F.col("polygon").isNotNull() & ~point_in_polygon(F.col("px"), F.col("py"), F.col("polygon"))
+    has, cls = F.col("px").isNotNull(), F.col("class_name")
+    rows = instances.withColumn("_outside", has & F.col("polygon").isNotNull() & ~point_in_polygon(F.col("px"), F.col("py"), F.col("polygon")))
     at = F.concat_ws(":", F.col("k").cast("string"), "class_name")
     rules = [
-        rule(instances, F.col("area") < least_area, "warning", "tiny_instance", "frame", at),
-        rule(instances, has & (F.col("class_name") == CROP_CLASS), "error", "lep_on_onion", "frame", at),
-        rule(instances, has & (F.col("class_name") == "weed_cluster"), "error", "lep_on_cluster", "frame", at),
-        rule(instances, outside, "error", "lep_outside_owning_mask", "frame", at),
-        rule(instances, has & ~outside & (F.col("edge_distance") < near), "warning", "lep_near_mask_edge", "frame", at),
+        rule(F.col("area") < least_area, "warning", "tiny_instance", at),
+        rule(has & (cls == CROP_CLASS), "error", "lep_on_onion", at),
+        rule(has & (cls == "weed_cluster"), "error", "lep_on_cluster", at),
+        rule(F.col("_outside"), "error", "lep_outside_owning_mask", at),
+        rule(has & ~F.col("_outside") & (F.col("edge_distance") < near), "warning", "lep_near_mask_edge", at),
     ]
     if require_point:
-        rules.append(rule(instances, ~has & needs_point(F.col("class_name"), F.col("visibility"), F.col("targetable")), "error", "missing_lep", "frame", at))
-    return findings(*rules)
+        rules.append(rule(~has & needs_point(cls, F.col("visibility"), F.col("targetable")), "error", "missing_lep", at))
+    return findings(rows, "frame", rules)
 
 
 def duplicate_items(rows: DataFrame, key: str, source: str) -> DataFrame:
@@ -62,7 +68,7 @@ def duplicate_items(rows: DataFrame, key: str, source: str) -> DataFrame:
 
 def union_named(parts: dict[str, DataFrame], name: str) -> DataFrame:
     """The rows of all parts, with the part they come from."""
-    return findings(*[rows.withColumn(name, F.lit(part)) for part, rows in parts.items()])
+    return reduce(DataFrame.unionByName, [rows.withColumn(name, F.lit(part)) for part, rows in parts.items()])
 
 
 def cross_check(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

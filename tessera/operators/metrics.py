@@ -7,16 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.windows import numbered
-
-
-def index_percentile(values: Column, share: float, last: bool = True) -> Column:
-    """The value at place int(share * (n - 1)), or min(n - 1, int(share * n)) if not
-    ``last``, of a group: no interpolation."""
-    ordered = F.array_sort(F.collect_list(values))
-    n = F.size(ordered)
-    place = F.floor(share * (n - 1)) if last else F.least(n - 1, F.floor(share * n))
-    return F.get(ordered, place.cast("int"))
+from tessera.operators.windows import numbered, quantiles, with_quantiles
 
 
 def gate_histogram(rows: DataFrame, failures: str, limits: Mapping[str, str]) -> DataFrame:
@@ -24,10 +15,8 @@ def gate_histogram(rows: DataFrame, failures: str, limits: Mapping[str, str]) ->
     limits: gate -> column of its measure."""
     n = rows.select(F.explode(failures).alias("gate")).groupBy("gate").agg(F.count("*").alias("rejected"))
     measures = F.array(*[F.struct(F.lit(g).alias("gate"), F.col(c).cast("double").alias("v")) for g, c in limits.items()])
-    long = rows.select(F.explode(measures).alias("m")).select("m.gate", "m.v").filter("v is not null")
-    order = Window.partitionBy("gate").orderBy("v")
-    at = long.withColumn("n", F.count("*").over(Window.partitionBy("gate"))).withColumn("k", F.row_number().over(order) - 1).filter(F.col("k") == F.floor(0.9 * (F.col("n") - 1)))
-    return n.join(at.select("gate", F.col("v").alias("hint")), "gate", "left")
+    long = rows.select(F.inline(measures))
+    return with_quantiles(n, long, ["gate"], "v", {"hint": 0.9}, "floor")
 
 
 def session_stats(rows: DataFrame, session: str, passed: Column, score: str) -> DataFrame:
@@ -139,13 +128,15 @@ def error_summary(rows: DataFrame, keys: Sequence[str], error: str, radius: str
     more = [share(e <= w).alias(f"within_{w:g}") for w in within]
     if radius:
         more += [share(e <= s * F.col(radius)).alias(f"within_{int(s * 100)}pct") for s in shares]
-    return rows.groupBy(*keys).agg(F.count(error).alias("n"), F.round(F.avg(e), 6).alias("mean"), F.round(F.percentile(e, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(e, F.lit(0.95)), 6).alias("p95"), *more)
+    out = rows.groupBy(*keys).agg(F.count(error).alias("n"), F.round(F.avg(e), 6).alias("mean"), *more)
+    return with_quantiles(out, rows, keys, error, {"median": 0.5, "p95": 0.95}).withColumns({c: F.round(c, 6) for c in ("median", "p95")})
 
 
 def stage_latency(rows: DataFrame, stages: str) -> DataFrame:
     """Per stage of a map stage -> ms, ragged keys allowed: n, mean, p50, p95."""
     long = rows.select(F.explode(stages).alias("stage", "ms"))
-    return long.groupBy("stage").agg(F.count("ms").alias("n"), F.round(F.avg("ms"), 6).alias("mean"), F.round(F.percentile("ms", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95"))
+    out = long.groupBy("stage").agg(F.count("ms").alias("n"), F.round(F.avg("ms"), 6).alias("mean"))
+    return with_quantiles(out, long, ["stage"], "ms", {"p50": 0.5, "p95": 0.95}).withColumns({c: F.round(c, 6) for c in ("p50", "p95")})
 
 
 def recall_by_size(truths: DataFrame, area: str, found: str, edges: Sequence[float]) -> DataFrame:
@@ -159,8 +150,9 @@ def recall_by_size(truths: DataFrame, area: str, found: str, edges: Sequence[flo
 
 def verdict_summary(rows: DataFrame, verdict: str, score: str) -> DataFrame:
     """Counts per verdict with scores at a tenth, half and nine tenths by rank."""
-    p = lambda s: F.round(index_percentile(F.col(score), s, last=False), 6)
-    return rows.groupBy(verdict).agg(F.count("*").alias("n"), p(0.1).alias("p10"), p(0.5).alias("median"), p(0.9).alias("p90"))
+    shares = {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    out = with_quantiles(rows.groupBy(verdict).agg(F.count("*").alias("n")), rows, [verdict], score, shares, "rank")
+    return out.withColumns({c: F.round(c, 6) for c in shares})
 
 
 def accept_sweep(rows: DataFrame, score: str, eligible: Column, cuts: Sequence[float] = (0.5, 0.6, 0.7, 0.8, 0.9)) -> DataFrame:
@@ -186,7 +178,9 @@ def agreement(rows: DataFrame, keys: Sequence[str], both: str, a: str, b: str) -
     empty masks agree fully."""
     union = F.col(a) + F.col(b) - F.col(both)
     iou = F.when(union == 0, 1.0).otherwise(F.col(both) / union)
-    return rows.withColumn("iou", iou).groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.percentile("iou", F.lit(0.5)), 6).alias("median_iou"), F.round(F.avg((F.col("iou") >= 0.9).cast("double")), 6).alias("share_90"))
+    rows = rows.withColumn("iou", iou)
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("mean_iou"), F.round(F.avg((F.col("iou") >= 0.9).cast("double")), 6).alias("share_90"))
+    return with_quantiles(out, rows, keys, "iou", {"median_iou": 0.5}).withColumn("median_iou", F.round("median_iou", 6))
 
 
 def identity_errors(pairs: DataFrame, frame: str, least: float = 0.5) -> DataFrame:
@@ -201,14 +195,13 @@ def scale_fit(rows: DataFrame, code: str, mm: str, spread: float = 0.10) -> Data
     """From percentiles of codes and millimetres: the median scale mm * 255 / code, and
     whether the scales agree within ``spread`` of it."""
     r = rows.filter(F.col(code) > 0).withColumn("s", F.col(mm) * 255.0 / F.col(code))
-    out = r.agg(F.percentile("s", F.lit(0.5)).alias("scale"), ((F.max("s") - F.min("s")) / F.percentile("s", F.lit(0.5))).alias("spread"))
+    out = with_quantiles(r.agg((F.max("s") - F.min("s")).alias("spread")), r, [], "s", {"scale": 0.5}).withColumn("spread", F.col("spread") / F.col("scale"))
     return out.select(F.round("scale", 6).alias("scale"), F.round("spread", 6).alias("spread"), (F.col("spread") <= spread).alias("linear"))
 
 
 def percentile_map(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
     """Percentiles of the non-zero values, one row a share."""
-    p = F.percentile(F.when(F.col(value) != 0, F.col(value)), F.array(*[F.lit(float(s)) for s in shares]))
-    return rows.groupBy(*keys).agg(p.alias("p")).select(*keys, F.posexplode("p").alias("k", "value")).withColumn("share", F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("k"))).drop("k")
+    return quantiles(rows.filter(F.col(value) != 0), keys, value, shares, name="p").select(*keys, F.posexplode("p").alias("k", "value")).withColumn("share", F.get(F.array(*[F.lit(float(s)) for s in shares]), F.col("k"))).drop("k")
 
 
 def range_statistics(rows: DataFrame, keys: Sequence[str], value: str, lo: float, hi: float) -> DataFrame:
@@ -219,10 +212,9 @@ def range_statistics(rows: DataFrame, keys: Sequence[str], value: str, lo: float
 
 def rank_correlations(rows: DataFrame, keys: Sequence[str], x: str, ys: Sequence[str], tie: str) -> DataFrame:
     """Ordinal rank correlation of x with each of ys, per keys."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, tie))
-    r = rows.withColumn("_x", rank(x))
+    r = numbered(rows.select(*keys, x, *ys, tie), [x, tie], "_x", by=keys)
     for y in ys:
-        r = r.withColumn(f"_{y}", rank(y))
+        r = numbered(r, [y, tie], f"_{y}", by=keys)
     return r.groupBy(*keys).agg(*[F.round(F.corr("_x", f"_{y}"), 6).alias(f"rho_{y}") for y in ys])
 
 
@@ -259,7 +251,8 @@ def blur_votes(anisotropy: Column, agreeing: Column, chance: Column, n: Column,
 def depth_kind(rows: DataFrame, session: str, top: str, median: str, saturated: str, plausible: tuple[float, float] = (250.0, 3000.0), pinned: float = 0.97, spread: float = 0.02, peak: float = 0.02) -> DataFrame:
     """What a session's depth frames are, from each frame's maximum, median and saturation."""
     full = 65535.0
-    s = rows.groupBy(session).agg(F.max(top).alias("hi"), F.min(top).alias("lo"), F.max(saturated).alias("sat"), F.percentile(median, F.lit(0.5)).alias("med"))
+    s = rows.groupBy(session).agg(F.max(top).alias("hi"), F.min(top).alias("lo"), F.max(saturated).alias("sat"))
+    s = with_quantiles(s, rows, [session], median, {"med": 0.5})
     preview = (F.col("lo") >= pinned * full) & (F.col("hi") - F.col("lo") <= spread * full) & (F.col("sat") < peak)
     kind = F.when(F.col("hi").isNull(), "uncertain").when(preview, "preview").when(F.col("med").between(*plausible), "metric").otherwise("uncertain")
     return s.select(session, kind.alias("kind"), F.round("med", 1).alias("median_value"))

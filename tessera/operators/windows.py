@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import new_folder
+from tessera.session import discard, materialise
 
 
 def cumulative_position(rows: DataFrame, group: str, order: str, pose: str, shift: str) -> DataFrame:
@@ -23,12 +23,13 @@ def cumulative_position(rows: DataFrame, group: str, order: str, pose: str, shif
 
 def ranged(rows: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """rows sorted by ranges and written to the shared folder, so that places stay however
-    often they are read: with _place_range and, growing inside each range, _place_row."""
-    spark = rows.sparkSession
-    folder = new_folder(spark, "order")
-    out = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place_row", F.monotonically_increasing_id())
-    out.write.parquet(folder)
-    return spark.read.schema(out.schema).parquet(folder).withColumn("_place_range", F.shiftright("_place_row", 33))
+    often they are read: with _place_range and, growing inside each range, _place_row. What
+    lies before is written first, as finding the ranges reads it once more."""
+    given = materialise(rows, "unordered")
+    sorted_ = given.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place_row", F.monotonically_increasing_id())
+    out = materialise(sorted_, "ordered")
+    discard(given)
+    return out.withColumn("_place_range", F.shiftright("_place_row", 33))
 
 
 def before_range(keys: Sequence[str]):
@@ -60,14 +61,46 @@ def average_precision(dets: DataFrame, truths: DataFrame, keys: Sequence[str], s
     return truths.join(area, keys, "left").select(*keys, "n_gt", F.when(F.col("n_gt") > 0, F.coalesce("ap", F.lit(0.0))).alias("ap"))
 
 
-def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
-    """rows with ``name``: their place in the order, from 1, ties in any order. No task sees
-    all rows: each range counts on from those before it, whose sizes are one row a range."""
-    parts = ranged(rows, order)
-    sizes = parts.groupBy("_place_range").agg(F.count("*").alias("_place_n"))
-    offsets = sizes.select("_place_range", F.coalesce(F.sum("_place_n").over(before_range([])), F.lit(0)).alias("_place_before"))
-    place = F.col("_place_before") + F.col("_place_row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    return parts.join(F.broadcast(offsets), "_place_range").withColumn(name, place).drop("_place_range", "_place_row", "_place_before")
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str, by: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """rows with ``name``: their place in the order, from 1, ties in any order, among all or
+    among rows of equal ``by`` (null is a value too), and with ``total``, how many these are.
+    No task sees a whole group: each range counts on from those before it, and the sizes are
+    one row a range and group that meet."""
+    by = list(by)
+    parts = ranged(rows, [*by, *order])
+    sizes = parts.groupBy("_place_range", *by).agg(F.min("_place_row").alias("_place_first"), F.count("*").alias("_place_n"))
+    offsets = sizes.withColumn("_place_before", F.coalesce(F.sum("_place_n").over(before_range(by)), F.lit(0))).withColumn("_place_total", F.sum("_place_n").over(Window.partitionBy(*by)))
+    offsets = offsets.drop("_place_n").withColumnsRenamed({k: f"_place_{k}" for k in by}).withColumnRenamed("_place_range", "_place_of")
+    same = [parts._place_range == offsets._place_of, *(parts[k].eqNullSafe(offsets[f"_place_{k}"]) for k in by)]
+    out = parts.join(offsets if by else F.broadcast(offsets), same)
+    out = out.withColumn(name, F.col("_place_row") - F.col("_place_first") + F.col("_place_before") + 1)
+    if total:
+        out = out.withColumn(total, F.col("_place_total"))
+    return out.drop("_place_range", "_place_row", "_place_of", "_place_first", "_place_before", "_place_total", *(f"_place_{k}" for k in by))
+
+
+def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], kind: str = "linear", name: str = "q") -> DataFrame:
+    """keys and ``name``, an array of the exact quantiles of a group's non-null values: at
+    place share * (n - 1), interpolated (linear) or cut to a whole place (floor), or at
+    min(n - 1, int(share * n)) (rank). Groups without a value have no row."""
+    keys = list(keys)
+    placed = numbered(rows.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null"), ["_v"], "_k", by=keys, total="_n")
+    at = [F.least(F.col("_n") - 1, F.floor(F.lit(float(s)) * F.col("_n"))).cast("double") if kind == "rank" else F.lit(float(s)) * (F.col("_n") - 1) for s in shares]
+    k, low = F.col("_k") - 1, [F.floor(x) for x in at]
+    high = [F.ceil(x) for x in at] if kind == "linear" else low
+    ends = [F.max(F.when(k == x, F.col("_v"))) for pair in zip(low, high, strict=True) for x in pair]
+    wanted = placed.filter(k.isin(*low, *high))
+    found = wanted.groupBy(*keys).agg(F.first("_n").alias("_n"), *[e.alias(f"_e{i}") for i, e in enumerate(ends)])
+    between = lambda i: F.col(f"_e{2 * i}") + (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) * (at[i] - low[i])
+    values = [between(i) if kind == "linear" else F.col(f"_e{2 * i}") for i in range(len(shares))]
+    return found.select(*keys, F.array(*values).alias(name))
+
+
+def with_quantiles(base: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float], kind: str = "linear") -> DataFrame:
+    """base (a row a group, or one row) with a column for each share."""
+    q = quantiles(rows, keys, value, list(shares.values()), kind, "_q")
+    out = base.join(q, list(keys), "left") if keys else base.crossJoin(F.broadcast(q.groupBy().agg(F.first("_q").alias("_q"))))
+    return out.withColumns({n: F.get("_q", F.lit(i)) for i, n in enumerate(shares)}).drop("_q")
 
 
 def interleave(groups: DataFrame, stratum: str, key: str, size: str, rank: Column) -> DataFrame:
@@ -88,8 +121,7 @@ def capped_top(rows: DataFrame, group: str, order: Sequence[Column], cap: int, t
 def class_share_cap(rows: DataFrame, label: str, order: str, share: float = 0.6) -> DataFrame:
     """Of a selection in its order, at most a share of it of one class."""
     n = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).alias("_cap"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    return rows.withColumn("_n", place).crossJoin(F.broadcast(n)).filter("_n <= _cap").drop("_n", "_cap")
+    return numbered(rows, [order], "_n", by=[label]).crossJoin(F.broadcast(n)).filter("_n <= _cap").drop("_n", "_cap")
 
 
 def every_nth(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:

@@ -69,16 +69,16 @@ IOU_SQL = """(greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * gr
   / (a.w * a.h + b.w * b.h - greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0)))"""
 
 
-def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Predictions (i) and truths (j)."""
-    rows = instances(spark, sf)
+def sides(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Predictions (i) and truths (j); rows: instances, if there already."""
+    rows = instances(spark, sf) if rows is None else rows
     return rows.filter(~F.col("is_truth")).withColumnRenamed("n", "i"), rows.filter("is_truth").withColumnRenamed("n", "j")
 
 
-def pairs(spark: SparkSession, sf: str, least: float = 0.5, same_class: bool = False) -> DataFrame:
+def pairs(spark: SparkSession, sf: str, least: float = 0.5, same_class: bool = False, rows: DataFrame | None = None) -> DataFrame:
     from tessera.operators.matching import instance_pairs
 
-    pred, truth = sides(spark, sf)
+    pred, truth = sides(spark, sf, rows)
     return instance_pairs(pred, truth, "frame", same_class, least)
 
 

@@ -8,7 +8,7 @@ from tessera.functions import columns as C
 from tessera.functions import geometry as G
 from tessera.operators import active, contract, folds, matching, metrics, windows
 from tessera.plans.analogues import INSTANCES_SQL, IOU_SQL, instances, pairs, pairs_sql, sides
-from tessera.session import table
+from tessera.session import materialise, table
 
 Q, SQL = {}, {}
 
@@ -55,24 +55,25 @@ p AS (SELECT cls, n_gt, tp / n_gt AS recall, max(tp / seen) OVER (PARTITION BY c
 q AS (SELECT cls, q.q, max(precision) AS best FROM p JOIN (SELECT i * 0.01::DOUBLE AS q FROM range(101) r(i)) q ON recall >= q.q GROUP BY ALL)
 SELECT g.cls, g.n_gt, round(coalesce(sum(best), 0) / 101, 6) AS ap FROM g LEFT JOIN q ON q.cls = g.cls GROUP BY ALL""")
 def average_precision(spark, sf):
-    pred, truth = sides(spark, sf)
-    hits = score_matched(spark, sf).select("frame", "i", F.lit(True).alias("tp"))
+    rows = materialise(instances(spark, sf), "instances")
+    pred, truth = sides(spark, sf, rows)
+    hits = folds.match_by_score(pairs(spark, sf, 0.5, True, rows), ["frame", "cls"]).select("frame", F.explode("matched.i").alias("i"), F.lit(True).alias("tp"))
     dets = pred.join(hits, ["frame", "i"], "left").select("cls", "frame", "i", "score", F.coalesce("tp", F.lit(False)).alias("tp"))
     n = truth.groupBy("cls").agg(F.count("*").alias("n_gt"))
     return windows.average_precision(dets, n, ["cls"], "score", "tp", ["frame", "i"]).withColumn("ap", F.round("ap", 6))
 
 
-def confidence_counts(spark, sf, cuts):
-    """tp, fp and fn per frame, class and confidence; overlaps are computed once."""
-    cut = F.explode(F.array(*[F.lit(float(c)) for c in cuts])).alias("conf")
-    p = pairs(spark, sf, 0.5, True).select("*", cut).filter("score >= conf")
-    m = folds.match_by_score(p, ["frame", "cls", "conf"]).select("frame", "cls", "conf", F.size("matched").alias("tp"))
-    pred, truth = sides(spark, sf)
-    np_ = pred.select("frame", "cls", "score", cut).filter("score >= conf").groupBy("frame", "cls", "conf").agg(F.count("*").alias("np"))
-    nt = truth.select("frame", "cls", cut).groupBy("frame", "cls", "conf").agg(F.count("*").alias("nt"))
-    keys = ["frame", "cls", "conf"]
-    out = np_.join(nt, keys, "full").join(m, keys, "left").fillna(0, ["np", "nt", "tp"])
-    return out.select(*keys, "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
+def confidence_counts(spark, sf, cuts, keys):
+    """tp, fp and fn by keys and confidence. A frame is matched once, as pairs below a cut come
+    after all above it; every row is counted for all cuts at once."""
+    rows = materialise(instances(spark, sf), "instances")
+    pred, truth = sides(spark, sf, rows)
+    m = folds.match_by_score(pairs(spark, sf, 0.5, True, rows), ["frame", "cls"], carry="score").select("frame", "cls", F.explode("matched.score").alias("score"))
+    sides_ = {"tp": m.select("frame", "cls", "score"), "np": pred.select("frame", "cls", "score"), "nt": truth.select("frame", "cls", F.lit(float("inf")).alias("score"))}
+    every = contract.union_named(sides_, "what")
+    n = lambda what, c: F.count_if((F.col("what") == what) & (F.col("score") >= c))
+    counts = every.groupBy(*keys).agg(F.array(*[F.struct(F.lit(float(c)).alias("conf"), *[n(w, c).alias(w) for w in sides_]) for c in cuts]).alias("s")).select(*keys, F.inline("s"))
+    return counts.select(*keys, "conf", "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))
 
 
 SWEEP = GREEDY.format(extra=", cls, conf", oextra=", o.cls, o.conf", on=" AND o.cls = t.cls AND o.conf = t.conf", source="pc", order="score DESC, i, iou DESC, j DESC")
@@ -83,15 +84,16 @@ m AS (SELECT cls, conf, count(*) AS tp FROM t WHERE ok GROUP BY ALL),
 p AS (SELECT cls, conf, count(*) AS np FROM instances JOIN cuts ON score >= conf WHERE NOT is_truth GROUP BY ALL), g AS (SELECT cls, conf, count(*) AS nt FROM instances CROSS JOIN cuts WHERE is_truth GROUP BY ALL)
 SELECT cls, conf, tp, np - tp AS fp, nt - tp AS fn, round(tp / np, 6) AS precision, round(tp / nt, 6) AS recall, round(2 * tp / (np + nt), 6) AS f1 FROM m JOIN p USING (cls, conf) JOIN g USING (cls, conf)""")
 def confidence_sweep(spark, sf):
-    return metrics.operating_point(confidence_counts(spark, sf, (0.0, 0.03, 0.06, 0.09)), ["cls", "conf"])
+    return metrics.operating_point(confidence_counts(spark, sf, (0.0, 0.03, 0.06, 0.09), ["cls"]), ["cls", "conf"])
 
 
 @query(f"""WITH RECURSIVE {pairs_sql(0.5, True)}, {MATCHED}, hit AS (SELECT o.frame, o.iou FROM t JOIN o ON o.frame = t.frame AND o.k = t.k WHERE t.ok),
 c AS (SELECT unnest([0.5, 0.6, 0.75, 0.9])::DOUBLE AS threshold), n AS (SELECT count(*) FILTER (NOT is_truth) AS n_pred, count(*) FILTER (is_truth) AS n_gt FROM instances), z AS (SELECT threshold, count(iou) AS tp FROM c LEFT JOIN hit ON iou >= threshold GROUP BY threshold)
 SELECT threshold, tp, n_pred - tp AS fp, n_gt - tp AS fn, round(tp / (n_pred + n_gt - tp), 6) AS jaccard FROM z CROSS JOIN n""")
 def jaccard_by_threshold(spark, sf):
-    m = matched_instances(spark, sf).join(pairs(spark, sf, 0.5, True), ["frame", "i", "j"]).select("iou")
-    n = instances(spark, sf).agg(F.count_if(~F.col("is_truth")).alias("n_pred"), F.count_if("is_truth").alias("n_gt"))
+    rows = materialise(instances(spark, sf), "instances")
+    m = folds.match_pairs(pairs(spark, sf, 0.5, True, rows), "frame", [-F.col("iou"), -F.col("i"), -F.col("j")], carry="iou").select(F.explode("matched.iou").alias("iou"))
+    n = rows.agg(F.count_if(~F.col("is_truth")).alias("n_pred"), F.count_if("is_truth").alias("n_gt"))
     out = metrics.counts_at_thresholds(m.crossJoin(F.broadcast(n)).withColumn("all", F.lit(1)), (0.5, 0.6, 0.75, 0.9), ["all"])
     return out.select("threshold", "tp", "fp", "fn", F.round("jaccard", 6).alias("jaccard"))
 
@@ -324,9 +326,9 @@ def contact_ranking(spark, sf):
     return active.contact_rank(rows, "session_id", "px", "frame", 8, 100)
 
 
-@query("""WITH c AS (SELECT o_orderkey, o_orderpriority AS label FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT greatest(1, floor(count(*) * 0.15::DOUBLE)) AS cap FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY o_orderkey) AS k FROM c) SELECT o_orderkey, label FROM r, n WHERE k <= cap""")
+@query("""WITH c AS (SELECT o_orderkey, o_orderpriority AS label FROM orders), n AS (SELECT greatest(1, floor(count(*) * 0.15::DOUBLE)) AS cap FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY o_orderkey) AS k FROM c) SELECT o_orderkey, label FROM r, n WHERE k <= cap""")
 def class_capped(spark, sf):
-    rows = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", F.col("o_orderpriority").alias("label"))
+    rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"))
     return windows.class_share_cap(rows, "label", "o_orderkey", 0.15)
 
 

@@ -103,12 +103,15 @@ def frames_in_spec(spark, sf):
 @query("""WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events)
 SELECT event_id, user_id FROM r WHERE (user_id % 10 = 3 AND pos BETWEEN 1 AND 26) OR (user_id % 10 = 4 AND pos IN (2, 5))""")
 def frames_by_position(spark, sf):
-    from tessera.plans.specs import select_positions
+    """Places of many sessions, as a table of tokens."""
+    from tessera.plans.specs import select_in_tables
 
-    e = table(spark, sf, "events").select("event_id", "user_id")
-    users = [r.user_id for r in e.select("user_id").distinct().collect()]
-    spec = [f"{u}:1-26" for u in users if u % 10 == 3] + [t for u in users if u % 10 == 4 for t in (f"{u}:2", f"{u}:5")]
-    return select_positions(e, spec, [], "user_id", "event_id")
+    e, u = table(spark, sf, "events").select("event_id", "user_id"), F.col("user_id")
+    place = lambda lo, hi: F.struct(F.lit(lo).cast("long").alias("lo"), F.lit(hi).cast("long").alias("hi"))
+    spec = e.select(u).distinct().filter(u % 10 == 3).select(u, F.explode(F.array(place(1, 26))).alias("p"))
+    spec = spec.unionByName(e.select(u).distinct().filter(u % 10 == 4).select(u, F.explode(F.array(place(2, 2), place(5, 5))).alias("p")))
+    spec = spec.select(u.cast("string").alias("s"), "p.lo", "p.hi", F.lit(None).cast("string").alias("g"))
+    return select_in_tables(e, spec, None, "user_id", "event_id")
 
 
 @query("""SELECT event_type, CASE event_type WHEN 'view' THEN ' Wild Radish' WHEN 'click' THEN 'GRASS-weed' WHEN 'purchase' THEN 'other weed' ELSE event_type END AS raw,
@@ -153,7 +156,7 @@ def thinned_frames(spark, sf):
 def thinning_sweep(spark, sf):
     """Positions are measured once and thresholds replayed on them."""
     rows = frames(spark, sf).select("session_id", "idx", "value").withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in (5.0, 20.0, 60.0, 150.0)])))
-    return folds.keep_by_travel(rows, ["session_id", "threshold"], "idx", "value", F.col("threshold")).select("session_id", "threshold", F.size("kept").cast("long").alias("kept"))
+    return folds.keep_by_travel(rows, ["session_id", "threshold"], "idx", "value", F.col("threshold")).groupBy("session_id", "threshold").agg(F.count_if("kept").alias("kept"))
 
 
 @query("""WITH w AS (SELECT user_id, count(*) AS before FROM events GROUP BY user_id),
@@ -193,9 +196,9 @@ def class_counts(spark, sf):
     return metrics.class_counts(frames(spark, sf), "session_id", "event_type").withColumn("session_id", F.coalesce("session_id", F.lit(-1))).withColumn("event_type", F.coalesce("event_type", F.lit("all")))
 
 
-@query("SELECT n_name AS class_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_custkey % 50 = 0 GROUP BY n_name")
+@query("SELECT n_name AS class_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name")
 def zero_filled_counts(spark, sf):
-    c = table(spark, sf, "customer").filter("c_custkey % 50 = 0").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return metrics.counts_with_zeros(c, "n_name", table(spark, sf, "nation").withColumnRenamed("n_name", "class_name"), "class_name")
 
 
@@ -294,11 +297,11 @@ def split_leaks(spark, sf):
     return splits.leaks(rows, "session_id", "split").select("splits", "session_id").withColumnRenamed("splits", "split")
 
 
-@query("""WITH b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE user_id % 3 = 0 OR event_id % 40 = 0),
+@query("""WITH b AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
 c AS (SELECT *, n - round_even(n * 0.2::DOUBLE, 0)::INT - round_even(n * 0.1::DOUBLE, 0)::INT AS v, n - round_even(n * 0.1::DOUBLE, 0)::INT AS t, round_even(n * 0.2::DOUBLE, 0)::INT AS nv, round_even(n * 0.1::DOUBLE, 0)::INT AS nt FROM b)
 SELECT user_id AS session_id, event_id AS idx, CASE WHEN n < 5 OR i < v - CASE WHEN nv + nt > 0 THEN 2 ELSE 0 END THEN 'train' WHEN i >= v AND i < t - CASE WHEN nv > 0 AND nt > 0 THEN 2 ELSE 0 END THEN 'val' WHEN i >= t THEN 'test' END AS split FROM c""")
 def frame_blocks(spark, sf):
-    rows = frames(spark, sf).filter((F.col("session_id") % 3 == 0) | (F.col("idx") % 40 == 0)).select("session_id", "idx")
+    rows = frames(spark, sf).select("session_id", "idx")
     return windows.within_session_blocks(rows, "session_id", "idx", 0.2, 0.1, gap=2)
 
 
@@ -345,5 +348,8 @@ def dropped_captures(spark, sf):
 
 @query("""SELECT user_id AS session_id, round(quantile_cont(value, 0.5), 6) AS median_value, round(quantile_cont(value, 0.5) FILTER (event_id % 3 = 0), 6) AS median_depth FROM events GROUP BY user_id""")
 def session_medians(spark, sf):
-    p = lambda c: F.round(F.percentile(c, F.lit(0.5)), 6)
-    return frames(spark, sf).groupBy("session_id").agg(p(F.col("value")).alias("median_value"), p(F.when(F.col("idx") % 3 == 0, F.col("value"))).alias("median_depth"))
+    rows = frames(spark, sf).withColumn("depth", F.when(F.col("idx") % 3 == 0, F.col("value")))
+    out = rows.select("session_id").distinct()
+    out = windows.with_quantiles(out, rows, ["session_id"], "value", {"median_value": 0.5})
+    out = windows.with_quantiles(out, rows, ["session_id"], "depth", {"median_depth": 0.5})
+    return out.withColumns({c: F.round(c, 6) for c in ("median_value", "median_depth")})

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import glob_to_regex
+from tessera.operators.windows import numbered
 
 FAR = 2**62
 
@@ -65,33 +67,58 @@ def parse_positions(tokens: Sequence[str]) -> list[tuple[str | None, int | None,
     return out
 
 
+SPEC = "s string, lo long, hi long, g string"
+
+
+def check_positions(frames: DataFrame, spec: list[tuple], session: str) -> None:
+    """Only the sessions that the tokens name are counted."""
+    named = sorted({s for s, *_ in spec if s is not None})
+    text = F.col(session).cast("string")
+    bare = [hi for s, _, hi, _ in spec if s is None and hi is not None]
+    if bare and frames.select(text).distinct().limit(2).count() > 1:
+        raise SpecError("a bare position needs a session where there are several")
+    sizes = {}
+    if named or bare:
+        table = frames.sparkSession.createDataFrame([(s,) for s in named], "_s string")
+        rows = frames if bare else frames.withColumn("_s", text).join(table, "_s", "left_semi")
+        sizes = {r["_s"]: r["n"] for r in rows.groupBy(text.alias("_s")).agg(F.count("*").alias("n")).collect()}
+    for s, _, hi, _ in spec:
+        if s is not None and s not in sizes:
+            raise SpecError(f"unknown session {s!r}")
+        if hi is not None and hi > (sizes[s] if s is not None else sum(sizes.values())):
+            raise SpecError(f"position {hi} lies beyond session {s}")
+
+
 def select_positions(frames: DataFrame, include: Sequence[str], exclude: Sequence[str], session: str, item: str) -> DataFrame:
     """Frames by their rank in their session or by a pattern of their id; first what is
     included (all, if nothing is), then without what is excluded."""
-    names = {str(r[0]) for r in frames.select(F.col(session).cast("string")).distinct().limit(100_000).collect()}
-    place = F.row_number().over(Window.partitionBy(session).orderBy(item)).cast("long")
-    ranked = frames.withColumn("_s", F.col(session).cast("string")).withColumn("_p", place).withColumn("_i", F.col(item).cast("string"))
-
-    def hits(tokens):
-        spec = parse_positions(tokens)
-        for s, lo, _, _ in spec:
-            if s is not None and s not in names:
-                raise SpecError(f"unknown session {s!r}")
-            if s is None and lo is not None and len(names) > 1:
-                raise SpecError("a bare position needs a session where there are several")
-        sizes = {r["_s"]: r["n"] for r in ranked.groupBy("_s").agg(F.max("_p").alias("n")).collect()}
-        for s, _, hi, _ in spec:
-            if hi is not None and hi > sizes[s if s is not None else next(iter(names))]:
-                raise SpecError(f"position {hi} lies beyond session {s}")
-        table = frames.sparkSession.createDataFrame(spec, "s string, lo long, hi long, g string")
-        on = (F.col("s").isNull() | (F.col("s") == F.col("_s"))) & F.coalesce(F.col("_p").between(F.col("lo"), F.col("hi")), F.rlike(F.col("_i"), F.col("g")))
-        return F.broadcast(table), on
+    spark, parsed = frames.sparkSession, [parse_positions(tokens) for tokens in (include, exclude)]
+    for spec in parsed:
+        check_positions(frames, spec, session)
+    tables = [spark.createDataFrame(spec, SPEC) if spec else None for spec in parsed]
+    return select_in_tables(frames, *tables, session, item)
+
+
+def select_in_tables(frames: DataFrame, include: DataFrame | None, exclude: DataFrame | None, session: str, item: str) -> DataFrame:
+    """The same with tokens as tables: s (session, null: any), lo and hi (places from 1) or
+    g (a pattern of the item). Rows that name a session meet its frames in a join on it."""
+    ranked = numbered(frames.withColumn("_s", F.col(session).cast("string")), [item], "_p", by=["_s"]).withColumn("_i", F.col(item).cast("string"))
+
+    def named(rows: DataFrame, spec: DataFrame, how: str) -> DataFrame:
+        within = F.coalesce(rows["_p"].between(spec["lo"], spec["hi"]), F.rlike(rows["_i"], spec["g"]))
+        return rows.join(spec, (rows["_s"] == spec["s"]) & within, how)
+
+    def anywhere(spec: DataFrame):
+        bare = spec.filter("s is null").collect()  # what a user wrote without a session
+        tests = [F.col("_p").between(r.lo, r.hi) if r.lo is not None else F.rlike(F.col("_i"), F.lit(r.g)) for r in bare]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
 
     out = ranked
-    if include:
-        out = out.join(*hits(include), "left_semi")
-    if exclude:
-        out = out.join(*hits(exclude), "left_anti")
+    if include is not None:
+        any_, spec = anywhere(include), include.filter("s is not null")
+        out = out.filter(any_).unionByName(named(out.filter(~any_), spec, "left_semi"))
+    if exclude is not None:
+        out = named(out.filter(~anywhere(exclude)), exclude.filter("s is not null"), "left_anti")
     return out.drop("_s", "_p", "_i")
 
 

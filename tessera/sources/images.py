@@ -149,7 +149,8 @@ def read_pictures(spark: SparkSession, path: str, pattern: str = "*.png") -> Dat
 
 
 def depth_at(files: DataFrame, points: DataFrame, radius: int = 4) -> DataFrame:
-    """points (path, u, v) with depth: the robust depth around each in its 16-bit picture."""
+    """points (path, u, v) with depth, the robust depth around each in its 16-bit picture, and
+    error (null if that was read)."""
     from tessera.operators.kernels import robust_depth
 
     def run(batches):
@@ -158,10 +159,13 @@ def depth_at(files: DataFrame, points: DataFrame, radius: int = 4) -> DataFrame:
         for batch in batches:
             out = []
             for path, data, pts in zip(batch["path"], batch["content"], batch["points"], strict=True):
-                a = read_png(data)
-                a = a[:, :, 0] if a.ndim == 3 else a
-                out += [(path, p["u"], p["v"], robust_depth(a, p["u"], p["v"], radius)) for p in pts]
-            yield pd.DataFrame(out, columns=["path", "u", "v", "depth"])
+                try:
+                    a = read_png(data or b"")
+                    a = a[:, :, 0] if a.ndim == 3 else a
+                    out += [(path, p["u"], p["v"], robust_depth(a, p["u"], p["v"], radius), None) for p in pts]
+                except PictureError as error:
+                    out += [(path, p["u"], p["v"], None, str(error)) for p in pts]
+            yield pd.DataFrame(out, columns=["path", "u", "v", "depth", "error"])
 
     grouped = points.groupBy("path").agg(F.collect_list(F.struct("u", "v")).alias("points"))
-    return files.join(grouped, "path").select("path", "content", "points").mapInPandas(run, "path string, u double, v double, depth double")
+    return files.join(grouped, "path").select("path", "content", "points").mapInPandas(run, "path string, u double, v double, depth double, error string")

@@ -12,28 +12,31 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.schemas import ANNOTATION_EXPORT, CLASSES, COCO, LEDGER, POOL, ROUND, SEG_MANIFEST
 
-MOST_COLUMNS = 128
+FIRST_COLUMNS = 128
 SESSION_IN_PATH = r"sessions/([^/]+)/meta/[^/]+$"
 
 
-def read_csv_by_name(spark: SparkSession, path: str, names: Sequence[str], extra: bool = False) -> DataFrame:
+def read_csv_by_name(spark: SparkSession, path: str, names: Sequence[str], extra: bool = False, columns: int = FIRST_COLUMNS) -> DataFrame:
     """CSV files with headers as text columns by name, whatever the order in each file;
     columns that a file lacks are null, others are kept only if ``extra``. Adds _path. Files
-    of at most ``MOST_COLUMNS`` columns. Where all headers agree, as they mostly do, rows are
-    projected by constants; else each row meets its file's header in a join."""
-    wide = ", ".join(f"_c{k} string" for k in range(MOST_COLUMNS))
-    raw = spark.read.schema(wide).option("header", False).option("mode", "PERMISSIVE").csv(path)
-    cells = F.array(*[f"_c{k}" for k in range(MOST_COLUMNS)])
-    raw = raw.select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), cells.alias("_cells"), F.monotonically_increasing_id().alias("_k"))
-    headers = raw.filter("_start = 0").groupBy("_path").agg(F.min_by("_cells", "_k").alias("_raw"))
+    may have any number of columns: where a header fills ``columns``, they are read with
+    twice as many. Where all headers agree, as they mostly do, rows are projected by
+    constants; else each row meets its file's header in a join."""
+    wide = ", ".join(f"_c{k} string" for k in range(columns))
+    cells = F.array(*[f"_c{k}" for k in range(columns)]).alias("_cells")
+    where = F.col("_metadata.file_path").alias("_path")
+    reader = spark.read.option("mode", "PERMISSIVE")
+    first = reader.schema(wide).option("header", False).csv(path).filter("_metadata.file_block_start = 0").select(where, cells, F.monotonically_increasing_id().alias("_k"))
+    headers = first.groupBy("_path").agg(F.min_by("_cells", "_k").alias("_raw"))
     headers = headers.withColumn("_header", F.transform("_raw", lambda x: F.trim(F.regexp_replace(x, "^\ufeff", ""))))
-    forms = headers.select("_raw", "_header").distinct().collect()
+    forms = headers.select("_header").distinct().collect()
+    if any(f["_header"][-1] is not None for f in forms):  # the last column is taken: there may be more
+        return read_csv_by_name(spark, path, names, extra, 2 * columns)
+    raw = reader.schema(wide).option("header", True).csv(path).select(where, cells)
     if len(forms) == 1:
-        head = [[F.lit(x).cast("string") for x in forms[0][k]] for k in ("_raw", "_header")]
-        rows = raw.withColumn("_raw", F.array(*head[0])).withColumn("_header", F.array(*head[1]))
+        rows = raw.withColumn("_header", F.array(*[F.lit(x).cast("string") for x in forms[0]["_header"]]))
     else:
-        rows = raw.join(headers, "_path")
-    rows = rows.filter(~F.col("_cells").eqNullSafe(F.col("_raw")))
+        rows = raw.join(headers.select("_path", "_header"), "_path")
     others = sorted({x for f in forms for x in f["_header"] if x} - set(names)) if extra else []
     cell = lambda n: F.get("_cells", (F.array_position("_header", n) - 1).cast("int")).alias(n)
     return rows.select(*[cell(n) for n in (*names, *others)], "_path")

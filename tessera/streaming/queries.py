@@ -36,7 +36,9 @@ def thin_stream(rows: DataFrame, group: str, order: str, position: str, threshol
 
 
 def gap_stream(rows: DataFrame, group: str, index: str) -> DataFrame:
-    """Jumps of the capture index, with the last index as state: group, after, index, n_dropped."""
+    """Jumps of the capture index, with the largest index so far as state: group, after,
+    index, n_dropped. A row at or below it comes late and changes nothing: the jump over it
+    was told when the rows after it came, and stays told."""
     import pandas as pd
 
     kinds = dict(rows.dtypes)
@@ -47,7 +49,7 @@ def gap_stream(rows: DataFrame, group: str, index: str) -> DataFrame:
         for i in sorted(int(x) for part in parts for x in part[index]):
             if last is not None and i - last > 1:
                 found.append((key[0], last, i, i - last - 1))
-            last = i
+            last = i if last is None else max(last, i)
         state.update((last,))
         yield pd.DataFrame(found, columns=[group, "after", index, "n_dropped"])
 
