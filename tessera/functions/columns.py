@@ -139,12 +139,15 @@ def pseudo_budget(n_hand: Column, n_existing: Column, ratio: float = 2.0) -> Col
 
 
 def review_reasons(instances: Column, veg_px: Column, coverage: Column, growth: Column, largest: Column, min_coverage: float, max_growth: float, max_share: float) -> Column:
-    """Why a frame should be looked at first."""
-    return listed(
-        (instances == 0, "no instances"),
-        ((veg_px > 0) & (coverage < min_coverage), F.format_string("only %.0f%% of vegetation covered", coverage * 100)),
-        (growth > max_growth, F.format_string("a seed grew %.0fx - possible merge", growth)),
-        (largest > max_share, F.format_string("one instance covers %.0f%% of the frame", largest * 100)),
+    """Why a frame should be looked at first: array of struct(code, value)."""
+    said = lambda code, value: F.struct(F.lit(code).alias("code"), value.cast("double").alias("value"))
+    return F.array_compact(
+        F.array(
+            F.when(instances == 0, said("empty", instances)),
+            F.when((veg_px > 0) & (coverage < min_coverage), said("low_coverage", coverage)),
+            F.when(growth > max_growth, said("seed_growth", growth)),
+            F.when(largest > max_share, said("large_instance", largest)),
+        )
     )
 
 
@@ -168,6 +171,12 @@ def depth_precision_problem(pix_fmt: Column, codec: Column) -> Column:
     return F.when(fmt == "", F.concat(F.lit("no pixel format from codec "), F.coalesce(F.lower(codec), F.lit("?")))).when(~wide, F.concat(F.lit("not 16-bit: "), fmt))
 
 
+def preview_millimetres(code: Column, lo: float, hi: float, tv_range: bool = False) -> Column:
+    """An 8-bit preview code as millimetres; 0 stays invalid."""
+    c = F.least(F.greatest((code - 16) * 255 / 219, F.lit(0.0)), F.lit(255.0)) if tv_range else code.cast("double")
+    return F.when(c > 0, lo + c / 255 * (hi - lo)).otherwise(0.0)
+
+
 def confidence_valid(value: Column, polarity: Column, threshold: Column, top: float = 100.0, unmeasured: int = 255) -> Column:
     """Null where the polarity is unknown; the threshold is a share of the declared range."""
     known = (value != unmeasured) & F.when(polarity == "high_is_good", value >= threshold * top).when(polarity == "low_is_good", value <= threshold * top)

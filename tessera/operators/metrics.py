@@ -265,3 +265,60 @@ def over_curation(rows: DataFrame, keys: Sequence[str], before: str, sweep: str,
     enough = F.greatest(F.lit(float(least)), 0.25 * F.col(before))
     best = F.array_max(F.transform(F.filter(sweep, lambda s: s.kept >= enough), lambda s: s.threshold))
     return rows.filter((F.col(before) > 0) & few).select(*keys, before, "after", best.alias("suggested"))
+
+
+def class_pool(counts: DataFrame, label: str, crop: str) -> DataFrame:
+    """Recall and precision of all classes but the crop, pooled; null where undefined.
+    counts: label, tp, n_gt, n_pred."""
+    s = counts.filter(F.col(label) != crop).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "n_gt", "n_pred")])
+    rate = lambda n: F.round(F.try_divide(F.col("tp").cast("double"), F.col(n)), 6)
+    return s.select("tp", "n_gt", "n_pred", rate("n_gt").alias("recall"), rate("n_pred").alias("precision"))
+
+
+def inside_rate(points: DataFrame, keys: Sequence[str], inside: Column) -> DataFrame:
+    """Share of points inside their own mask; points without a mask (null) don't count."""
+    return points.withColumn("_in", inside).groupBy(*keys).agg(F.count("_in").alias("n"), F.round(F.avg(F.col("_in").cast("double")), 6).alias("inside_rate"))
+
+
+def compare_methods(rows: DataFrame, method: str, uv: tuple[str, str], truth: tuple[str, str], radius: str) -> DataFrame:
+    """``error_summary`` of several methods' points against the same truths, a row a method."""
+    error = F.sqrt((F.col(uv[0]) - F.col(truth[0])) ** 2 + (F.col(uv[1]) - F.col(truth[1])) ** 2)
+    return error_summary(rows.withColumn("_error", error), [method], "_error", radius)
+
+
+def errors_3d(rows: DataFrame, keys: Sequence[str], predicted: Sequence[str], truth: Sequence[str]) -> DataFrame:
+    """Per keys: n, mean, median and 95th percentile of the distance, and the medians in the
+    plane and in depth. Rows without a reference don't count."""
+    part = [F.col(p) - F.col(t) for p, t in zip(predicted, truth, strict=True)]
+    known = rows.select(*keys, F.sqrt(part[0] ** 2 + part[1] ** 2 + part[2] ** 2).alias("_d"), F.sqrt(part[0] ** 2 + part[1] ** 2).alias("_xy"), F.abs(part[2]).alias("_z")).filter("_d is not null")
+    out = known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_d").alias("mean"))
+    out = with_quantiles(out, known, keys, "_d", {"median": 0.5, "p95": 0.95})
+    out = with_quantiles(out, known, keys, "_xy", {"xy_median": 0.5})
+    out = with_quantiles(out, known, keys, "_z", {"z_median": 0.5})
+    return out.withColumns({c: F.round(c, 6) for c in ("mean", "median", "p95", "xy_median", "z_median")})
+
+
+def area_summary(rows: DataFrame, keys: Sequence[str], area: str, floor: float) -> DataFrame:
+    """Per keys: n, areas at a tenth, half and nine tenths by place, the largest, how many lie
+    under four times the floor, and whether these are more than half."""
+    tiny = F.count_if(F.col(area) < 4 * floor)
+    out = rows.groupBy(*keys).agg(F.count(area).alias("n"), F.max(area).alias("most"), tiny.alias("tiny")).withColumn("suspect", F.col("tiny") > 0.5 * F.col("n"))
+    return with_quantiles(out, rows, keys, area, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, "floor")
+
+
+def cluster_over_prediction(pairs: DataFrame, clusters: DataFrame, frame: str, covered: str, least: float = 0.5) -> DataFrame:
+    """How many predicted clusters there are, and how many cover at least two truths that
+    aren't clusters. pairs: frame, i, and the share of a truth that i covers, for predicted
+    clusters and other truths; clusters: frame, i."""
+    bad = pairs.filter(F.col(covered) >= least).groupBy(frame, "i").agg(F.count("*").alias("n")).filter("n >= 2")
+    n = clusters.agg(F.count("*").alias("clusters")).crossJoin(F.broadcast(bad.agg(F.count("*").alias("over"))))
+    return n.select("clusters", "over", F.round(F.try_divide(F.col("over").cast("double"), F.col("clusters")), 6).alias("rate"))
+
+
+def contact_confusion(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rates of pixels confused near where crop and weed meet, both directions apart: crop read
+    as weed among crop pixels, weed read as crop among weed pixels. frames: crop_px,
+    crop_as_weed, weed_px, weed_as_crop."""
+    s = frames.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("crop_px", "crop_as_weed", "weed_px", "weed_as_crop")])
+    rate = lambda a, b: F.round(F.try_divide(F.col(a).cast("double"), F.col(b)), 6)
+    return s.withColumn("crop_error", rate("crop_as_weed", "crop_px")).withColumn("weed_error", rate("weed_as_crop", "weed_px"))

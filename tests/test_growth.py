@@ -32,6 +32,21 @@ def test_growth_point_of_a_rosette():
     assert set(G.growth_point(rosette(), {"mine": lambda plant: plant.mask.astype(float)})["peaks"]) == {"mine"}
 
 
+def test_points_from_rows_of_evidence(spark):
+    """The Spark stage gives what the function on one plant gives."""
+    plants = [rosette(), rosette(80, 5, (36, 40)), rosette()]
+    plants[2].depth = None
+    rows = [(k, *p.mask.shape, bytearray(p.mask.astype(np.uint8).tobytes()), bytearray(p.rgb.tobytes()), None if p.depth is None else bytearray(p.depth.astype(np.float32).tobytes()), p.class_name) for k, p in enumerate(plants)]
+    rows.append((9, 4, 4, bytearray(16), bytearray(48), None, "grass_weed"))
+    df = spark.createDataFrame(rows, "plant long, height int, width int, mask binary, rgb binary, depth binary, class_name string")
+    got = {r.plant: r for r in G.growth_points(G.evidence_rows(df)).collect()}
+    assert set(got) == {0, 1, 2}
+    for k, p in enumerate(plants):
+        want = G.growth_point(p)
+        assert np.hypot(got[k].u - want["u"], got[k].v - want["v"]) < 0.5 and abs(got[k].confidence - want["confidence"]) < 0.05
+        assert got[k].visibility == want["visibility"] and got[k].n_lines == len(want["peaks"])
+
+
 def test_skeleton():
     bar = np.zeros((15, 40), bool)
     bar[5:10, 3:37] = True
@@ -116,3 +131,6 @@ def test_picture_rows(spark, tmp_path):
     files = spark.read.format("binaryFile").load(f"{tmp_path}/d.png")
     points = files.selectExpr("path", "20.0D as u", "20.0D as v")
     assert I.depth_at(files, points).first().depth == 1234.0
+    bad = spark.read.format("binaryFile").load(f"{tmp_path}/b.png")
+    r = I.depth_at(bad, bad.selectExpr("path", "20.0D as u", "20.0D as v")).first()
+    assert r.depth is None and r.error == "not a PNG file"
