@@ -40,6 +40,11 @@ def seam_separation(frames: DataFrame, session: str, index: str, split: str) ->
     return out.filter(F.col(split).isin("val", "test") & F.col("distance").isNotNull()).groupBy(session, split).agg(F.min("distance").alias("separation"))
 
 
+def seam_problems(separations: DataFrame, separation: str, floor: int = 60) -> DataFrame:
+    """Sessions and splits whose frames come nearer to train frames than the floor."""
+    return separations.filter(F.col(separation) < floor)
+
+
 def in_ranges(frames: DataFrame, ranges: DataFrame, index: str, keys: list[str] | None = None) -> DataFrame:
     """Frames whose index lies in a range (lo, hi; hi null: open), each frame once."""
     on = F.col(f"f.{index}").between(F.col("r.lo"), F.coalesce(F.col("r.hi"), F.lit(2**62)))

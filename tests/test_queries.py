@@ -5,10 +5,10 @@ import pytest
 
 import __spark_entry__ as contract
 from oracle import database, differences
-from tessera.plans import instances, pool, rounds
+from tessera.plans import curation, instances, pool, rounds
 
-QUERIES = pool.Q | instances.Q | rounds.Q
-SQL = pool.SQL | instances.SQL | rounds.SQL
+QUERIES = pool.Q | instances.Q | rounds.Q | curation.Q
+SQL = pool.SQL | instances.SQL | rounds.SQL | curation.SQL
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +56,39 @@ def test_diverse_batch(spark, sf_dir):
     assert got == want
 
 
+def greedy(x, s, k):
+    s = s / s.max() if s.max() > 0 else s
+    picked = [int(s.argmax())]
+    while len(picked) < min(k, len(s)):
+        near = np.min([np.sqrt(((x - x[p]) ** 2).sum(1)) for p in picked], axis=0)
+        merit = 0.5 * near / near[[i for i in range(len(s)) if i not in picked]].max() + 0.5 * s
+        merit[picked] = -1
+        picked.append(int(merit.argmax()))
+    return picked
+
+
+def test_batches_to_label(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas().sort_values("vec_id")
+    some = rows[rows.vec_id % 11 != 0]
+    got = {r.place: (r.vec_id, r.how) for r in QUERIES["next_batch"](spark, sf_dir).collect()}
+    want = greedy(np.stack(some.embedding).astype(float), (some.vec_id % 10).to_numpy(float), 6)
+    assert [got[k + 1] for k in range(6)] == [(int(some.vec_id.iloc[i]), "diverse") for i in want]
+    cold = {r.place: r.vec_id for r in QUERIES["cold_start"](spark, sf_dir).collect()}
+    want = greedy(np.stack(rows.embedding).astype(float), np.zeros(len(rows)), 5)
+    assert [cold[k + 1] for k in range(5)] == [int(rows.vec_id.iloc[i]) for i in want]
+
+
+def test_pictures_are_measured(spark, sf_dir):
+    rows = QUERIES["measured_pictures"](spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    assert all(r.error is None and (r.height, r.width) == (8, 8) and len(r.phash) == 16 for r in rows)
+
+
+def test_drawn_growth_points(spark, sf_dir):
+    for r in QUERIES["drawn_growth_points"](spark, sf_dir).collect():
+        assert abs(r.u - (8 + r.plant % 8)) < 2 and abs(r.v - (8 + r.plant // 8 % 8)) < 2
+
+
 def test_hash_diverse_batch(spark, sf_dir):
     from pyspark.sql import functions as F
 
