@@ -294,7 +294,7 @@ def measured_pictures(spark, sf):
 
 @query()
 def drawn_growth_points(spark, sf):
-    """A growth point for every part, drawn as a disc with a bright middle."""
+    """A growth point for every supplier, drawn as a disc with a bright middle."""
     from tessera.operators.growth import evidence_rows, growth_points
 
     def draw(batches):
@@ -304,7 +304,7 @@ def drawn_growth_points(spark, sf):
         y, x = np.mgrid[:24, :24]
         for batch in batches:
             out = []
-            for k in batch["p_partkey"]:
+            for k in batch["s_suppkey"]:
                 u, v = 8 + k % 8, 8 + k // 8 % 8
                 far = np.hypot(x - u, y - v)
                 rgb = np.where((far < 7)[:, :, None], [40, 140, 40], [120, 100, 80]).astype(np.uint8)
@@ -312,5 +312,5 @@ def drawn_growth_points(spark, sf):
                 out.append((k, 24, 24, (far < 7).astype(np.uint8).tobytes(), rgb.tobytes(), None, "wild_radish"))
             yield pd.DataFrame(out, columns=["plant", "height", "width", "mask", "rgb", "depth", "class_name"])
 
-    plants = table(spark, sf, "part").select("p_partkey").mapInPandas(draw, "plant long, height int, width int, mask binary, rgb binary, depth binary, class_name string")
+    plants = table(spark, sf, "supplier").select("s_suppkey").mapInPandas(draw, "plant long, height int, width int, mask binary, rgb binary, depth binary, class_name string")
     return growth_points(evidence_rows(plants)).withColumns({c: F.round(c, 3) for c in ("u", "v", "sigma", "agreement", "confidence")})

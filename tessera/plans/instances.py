@@ -377,7 +377,7 @@ def depth_at_point(spark, sf):
     return g.select("frame", d.alias("d")).select("frame", F.round("d.median", 6).alias("median"), F.round("d.spread", 6).alias("spread"), F.col("d.discontinuous").alias("discontinuous"))
 
 
-@query()
+@query(f"""WITH {INSTANCES_SQL}, r AS (SELECT frame, n, w, h, greatest(least(3 + w, 5 + h) - 5, 0) AS inter FROM instances WHERE is_truth) SELECT frame, n, inter / (w + h - inter) AS iou, w::BIGINT AS area FROM r""")
 def run_length_overlap(spark, sf):
     """Overlap of decoded run-length masks, in Arrow batches."""
     from tessera.operators.kernels import rle_iou

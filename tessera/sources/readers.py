@@ -145,10 +145,10 @@ def read_seg_manifest(spark: SparkSession, path: str) -> DataFrame:
     return frames.groupBy("file_name").agg(F.max_by("f", "k").alias("f")).select("file_name", "f.*")
 
 
-def sniff_documents(spark: SparkSession, path: str) -> DataFrame:
+def sniff_documents(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """What each JSON file is: annotation export, COCO, segmentation manifest or other, with
     its description's provenance."""
-    text = spark.read.text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
+    text = spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json" if recursive else "*").text(path, wholetext=True).withColumn("_path", F.col("_metadata.file_path"))
     has = lambda k: F.get_json_object("value", f"$.{k}").isNotNull()
     kind = F.when(has("items"), "annotations").when(has("images") & has("annotations"), "coco").when(has("frames"), "manifest").otherwise("other")
     return text.select("_path", kind.alias("kind"), C.provenance_caveat(F.get_json_object("value", "$.info.description")).alias("provenance"))
@@ -212,3 +212,53 @@ def unlabelled_files(files: DataFrame, stride: int, exclude: DataFrame | None, l
     out = every_nth(files, "session_id", "path", stride)
     out = out if exclude is None else out.join(exclude, "name", "left_anti")
     return out if limit is None else out.orderBy("session_id", "path").limit(limit)
+
+
+def read_side(spark: SparkSession, path: str) -> DataFrame:
+    """Truths or predictions below a folder, or of one file, in either of two formats: a
+    segmentation manifest (seg_manifest.json first), else COCO (instances_default.json
+    first), else the first other JSON file, by path, that is one of them: file_name, label,
+    polygons, score."""
+    kinds = sniff_documents(spark, path, recursive=True).filter(F.col("kind").isin("manifest", "coco"))
+    name = F.regexp_extract("_path", r"([^/]*)$", 1)
+    rank = F.when((F.col("kind") == "manifest") & (name == "seg_manifest.json"), 0).when((F.col("kind") == "coco") & (name == "instances_default.json"), 1).otherwise(2)
+    first = kinds.orderBy(rank, "_path").select("_path", "kind").first()
+    if first is None:
+        raise ValueError(f"neither a manifest nor a COCO document below {path}")
+    if first.kind == "manifest":
+        rows = read_seg_manifest(spark, first["_path"]).select("file_name", F.explode("instances").alias("i"))
+        return rows.select("file_name", F.col("i.class_name").alias("label"), F.col("i.polygons").alias("polygons"), F.col("i.score").alias("score"))
+    return read_coco(spark, first["_path"]).select("file_name", F.col("category").alias("label"), F.col("segmentation").alias("polygons"), "score")
+
+
+def coco_masks(notes: DataFrame, category: str | None) -> DataFrame:
+    """One run-length mask a file of the polygons of a category, as ``read_coco`` gives them:
+    file_name, height, width, counts, area. A category that no annotation names filters
+    nothing; polygons of fewer than three points are left out. An image's polygons meet in
+    one task, an image at a time."""
+    from tessera.operators.kernels import rasterise, rle_encode
+
+    known = category is not None and notes.filter(F.col("category") == category).limit(1).count() > 0
+    rows = (notes.filter(F.col("category") == category) if known else notes).select("file_name", "height", "width", "segmentation")
+
+    def draw(part):
+        import numpy as np
+        import pandas as pd
+
+        height, width = int(part["height"].iloc[0]), int(part["width"].iloc[0])
+        mask = np.zeros((height, width), bool)
+        for polygons in part["segmentation"]:
+            for flat in () if polygons is None else polygons:
+                if len(flat) >= 6:
+                    mask |= rasterise(list(flat), height, width)
+        return pd.DataFrame([(part["file_name"].iloc[0], height, width, rle_encode(mask), int(mask.sum()))], columns=["file_name", "height", "width", "counts", "area"])
+
+    return rows.groupBy("file_name").applyInPandas(draw, "file_name string, height int, width int, counts array<int>, area long")
+
+
+def verified_sessions(spark: SparkSession, root: str, only: Sequence[str] = ()) -> DataFrame:
+    """session_id and path of the verified exports below a folder, a folder a session; only:
+    the sessions asked for, all if none is named."""
+    found = list_files(spark, root, "instances_default.json")
+    rows = found.select(F.regexp_extract("path", r"([^/]+)/instances_default\.json$", 1).alias("session_id"), "path")
+    return rows.filter(F.col("session_id").isin(*only)) if only else rows

@@ -125,3 +125,27 @@ def test_other_sinks(spark, tmp_path):
     nested = spark.createDataFrame([((1, (2.0,)),)], "m struct<a: int, b: struct<c: double>>")
     assert K.flatten(nested).columns == ["m.a", "m.b.c"]
     assert K.union_columns(old, new.withColumn("more", F.lit(1))).columns == ["key", "v", "other", "more"]
+
+
+def test_either_format_masks_and_sessions(spark, tmp_path):
+    coco = {"images": [{"id": 1, "file_name": "x/a.png", "width": 8, "height": 6}], "categories": [{"id": 2, "name": "grass_weed"}, {"id": 3, "name": "onion_plant"}], "annotations": [{"id": 1, "image_id": 1, "category_id": 2, "segmentation": [[1, 1, 5, 1, 5, 4, 1, 4], [0, 0, 1, 1]]}, {"id": 2, "image_id": 1, "category_id": 3, "segmentation": [[5, 1, 7, 1, 7, 3, 5, 3]]}]}
+    put(tmp_path, "side/s1/instances_default.json", coco)
+    put(tmp_path, "side/s2/instances_default.json", coco)
+    put(tmp_path, "side/a_first.json", {"frames": [{"image": "q.png", "instances": [{"class_name": "wild_radish", "polygons": [[0, 0, 1, 0, 1, 1]]}]}]})
+    side = str(tmp_path / "side")
+    assert sorted((r.file_name, r.label) for r in R.read_side(spark, side).collect()) == [("a.png", "grass_weed"), ("a.png", "onion_plant")]
+    put(tmp_path, "side/seg_manifest.json", {"frames": [{"image": "m.png", "instances": [{"class_name": "wild_radish", "polygons": [[0, 0, 1, 0, 1, 1]]}]}]})
+    assert [(r.file_name, r.label) for r in R.read_side(spark, side).collect()] == [("m.png", "wild_radish")]
+    notes = R.read_coco(spark, f"{side}/s1/instances_default.json")
+    one = R.coco_masks(notes, "grass_weed").first()
+    assert (one.file_name, one.area, sum(one.counts)) == ("a.png", 12, 48)
+    assert R.coco_masks(notes, "no such class").first().area == 16
+    assert sorted(r.session_id for r in R.verified_sessions(spark, side).collect()) == ["s1", "s2"]
+    assert [r.session_id for r in R.verified_sessions(spark, side, ["s2"]).collect()] == ["s2"]
+
+
+def test_wide_files_and_rows_like_the_header(spark, tmp_path):
+    names = [f"n{k}" for k in range(300)]
+    (tmp_path / "w.csv").write_text(",".join(names) + "\n" + ",".join(str(k) for k in range(300)) + "\n" + ",".join(names) + "\n")
+    got = R.read_csv_by_name(spark, str(tmp_path / "w.csv"), ["n299", "n0", "lost"]).collect()
+    assert sorted((r.n299, r.n0, r.lost) for r in got) == [("299", "0", None), ("n299", "n0", None)]
