@@ -34,7 +34,7 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiff.store_texts(table(with_package(spark), sf_dir, "documents")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages")
+    return tiff.store_texts(table(with_package(spark), sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_pages")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

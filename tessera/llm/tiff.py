@@ -110,84 +110,87 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Width and first bit of the k-th code after a clear: widths grow with the table, one early.
+LZW_WIDTH = np.array([min(12, (258 + k).bit_length()) for k in range(4096)])
+LZW_FIRST = np.concatenate([[0], np.cumsum(LZW_WIDTH)])
+LZW_SINGLE = [bytes([k]) for k in range(256)] + [b"", b""]
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits, most significant bit first, widths change one early."""
-    codes, widths = [256], [9]
-    table: dict[tuple[int, int], int] = {}
-    next_, width, prefix = 258, 9, -1
+    """TIFF's LZW: codes of 9 to 12 bits, most significant bit first."""
+    codes, table, next_, prefix = [256], {}, 258, -1
     for byte in data:
         if prefix < 0:
             prefix = byte
             continue
-        key = (prefix, byte)
+        key = prefix << 8 | byte
         if (code := table.get(key)) is not None:
             prefix = code
             continue
         codes.append(prefix)
-        widths.append(width)
         table[key] = next_
         next_ += 1
         if next_ == 4094:
             codes.append(256)
-            widths.append(12)
-            table, next_, width = {}, 258, 9
-        elif next_ == 1 << width:
-            width += 1
+            table, next_ = {}, 258
         prefix = byte
-    if prefix >= 0:
-        codes.append(prefix)
-        widths.append(width)
-        next_ += 1
-        if next_ == 1 << width and width < 12:
-            width += 1
-    codes.append(257)
-    widths.append(width)
-    c, w = np.array(codes, np.uint16), np.array(widths)
+    codes += [257] if prefix < 0 else [prefix, 257]
+    c = np.array(codes, np.uint16)
+    at = np.arange(len(c))
+    clear = np.maximum.accumulate(np.where(c == 256, at, 0))
+    width = LZW_WIDTH[np.concatenate([[0], (at - clear - 1)[1:]]).clip(0)]
+    again = np.flatnonzero(c == 256)[1:]  # a clear is as wide as the codes before it
+    width[again] = LZW_WIDTH[again - clear[again - 1] - 1]
     bits = (c[:, None] >> np.arange(11, -1, -1, dtype=np.uint16)) & 1
-    return np.packbits(bits[np.arange(12) >= (12 - w)[:, None]].astype(np.uint8)).tobytes()
+    return np.packbits(bits[np.arange(12) >= (12 - width)[:, None]].astype(np.uint8)).tobytes()
 
 
 def lzw_decode(data: bytes, size: int = 1 << 62) -> bytes:
-    """Up to about ``size`` bytes."""
+    """At least ``size`` bytes, if there are as many. From one clear to the next the codes'
+    places are known, so they are read at once."""
     out: list[bytes] = []
-    made = 0
-    single = [bytes([k]) for k in range(256)] + [b"", b""]
-    table, width, last = list(single), 9, b""
-    held, bits = 0, 0
-    for byte in data:
-        held = (held << 8) | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 256:
-            table, width, last = list(single), 9, b""
-            continue
-        if code == 257:
+    padded, made, begin = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32), 0, 0
+    total = 8 * len(data)
+    while made < size and total - begin >= 9:
+        most = np.searchsorted(LZW_FIRST, total - begin, "right") - 1
+        more = max(0, (total - begin - int(LZW_FIRST[-1])) // 12)  # a table that is full stays
+        place = begin + LZW_FIRST[:most]
+        width = LZW_WIDTH[:most]
+        if more:
+            place, width = np.concatenate([place, begin + LZW_FIRST[-1] + 12 * np.arange(more)]), np.concatenate([width, np.full(more, 12)])
+        at = place >> 3
+        four = padded[at] << 24 | padded[at + 1] << 16 | padded[at + 2] << 8 | padded[at + 3]
+        codes = (four >> (32 - (place & 7) - width).astype(np.uint32)) & ((1 << width) - 1).astype(np.uint32)
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(stop[0]) if len(stop) else len(codes)
+        words = lzw_words(codes[:n].tolist())
+        out += words
+        made += sum(map(len, words))
+        if not len(stop) or codes[n] == 257:
             break
-        if not last:
-            if code > 255:
-                raise TiffError("LZW: a string before any literal")
-            last = table[code]
-            out.append(last)
-            continue
-        if code < len(table) and code != 256:
+        begin = int(place[n] + width[n])
+    return b"".join(out)
+
+
+def lzw_words(codes: list[int]) -> list[bytes]:
+    if not codes:
+        return []
+    if codes[0] > 255:
+        raise TiffError("LZW: a string before any literal")
+    table = LZW_SINGLE.copy()
+    last = table[codes[0]]
+    out = [last]
+    for code in codes[1:]:
+        if code < len(table):
             word = table[code]
         elif code == len(table):
             word = last + last[:1]
         else:
             raise TiffError("LZW: a code beyond the table")
         out.append(word)
-        made += len(word)
-        if made >= size:
-            break
         table.append(last + word[:1])
         last = word
-        if len(table) >= (1 << width) - 1 and width < 12:
-            width += 1
-    return b"".join(out)
+    return out
 
 
 def decompress(data: bytes, compression: int, size: int) -> bytes:
@@ -424,8 +427,8 @@ def joined(pages: DataFrame) -> DataFrame:
     tail_crc32, n_pages, feature and error of its pages' samples. Reads pages as ``pages_of``
     leaves them: a file's own stand one after another in one task."""
     old = T._parse_datatype_string(PAGE_FIELDS).names
-    kept = [f for f in pages.schema.fields if f.name not in old]
     new = T._parse_datatype_string("payload_bytes long, payload_sha256 string, tail_crc32 long, n_pages long, feature string, error string")
+    kept = [f for f in pages.schema.fields if f.name not in (*old, *new.names)]
     names, kinds = [f.name for f in kept], _arrow_types(new)
 
     def run(batches):
@@ -498,6 +501,6 @@ def stored(docs: DataFrame) -> DataFrame:
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """doc_id and the digests of its text stored as TIFF and read back page by page: n_bytes,
-    media_bytes, media_sha256 and the columns of ``joined``."""
-    return joined(pages_of(stored(docs.select("doc_id", "text")).drop("text")))
+    """docs without text, with the digests of the text stored as TIFF and read back page by
+    page: n_bytes, media_bytes, media_sha256 and the columns of ``joined``."""
+    return joined(pages_of(stored(docs).drop("text")))

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import tiff
 
@@ -80,6 +81,10 @@ def test_texts_round_trip(spark):
     assert {(r.compression, r.predictor, r.tiled) for r in pages} == set(tiff.STYLES)
     assert b"".join(bytes(r.pixels) for r in pages).rstrip() == long.encode().rstrip()
     assert tiff.store_texts(spark.createDataFrame([], SCHEMA)).collect() == []
+    more = given.withColumns({"page": F.lit("p"), "n_pages": F.lit("n"), "error": F.lit(1), "lang": F.lit("xx")})
+    out = tiff.store_texts(more)
+    assert out.columns == ["doc_id", "lang", "n_bytes", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "n_pages", "feature", "error"]
+    assert {r.lang for r in out.collect()} == {"xx"} and out.count() == len(docs)
 
 
 def test_styles_serve_short_texts_alike(spark):
