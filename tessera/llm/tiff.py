@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tessera.llm.common import add_columns
 
 # Fixed values of the format.
 NONE, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -41,7 +40,7 @@ ROW = WIDTH * SAMPLES
 PAGE = 32 * ROW
 STRIP_ROWS = 8
 #: Bytes of pixels in one batch of pages, about.
-BATCH = 8 << 20
+BATCH = 4 << 20
 TILE = 16
 #: Codec, predictor and tiles of pages, in turn.
 STYLES = [(c, p, t) for c, p in ((NONE, 1), (PACKBITS, 1), (LZW, 1), (LZW, 2), (ADOBE_DEFLATE, 1), (ADOBE_DEFLATE, 2)) for t in (False, True)]
@@ -384,11 +383,22 @@ def described(counts: np.ndarray, flat: int) -> str:
 PAGE_FIELDS = "page long, width long, height long, samples long, compression long, predictor long, tiled boolean, pixels binary, feature string, error string"
 
 
-def pages_of(files: DataFrame, column: str = "media") -> DataFrame:
-    """One row for each page of the TIFF file in a binary column, in their order; other
-    columns repeat, the file itself is left out."""
+@dataclass
+class Step:
+    """A function over Arrow batches, the columns it reads in their order, and its result's
+    schema. Steps that follow one another may share one Python worker."""
+
+    run: Callable
+    reads: list[str]
+    schema: T.StructType
+
+    def of(self, df: DataFrame) -> DataFrame:
+        return df.select(*self.reads).mapInArrow(self.run, self.schema)
+
+
+def paging(schema: T.StructType, column: str) -> Step:
     new = T._parse_datatype_string(PAGE_FIELDS)
-    kept = [f for f in files.schema.fields if f.name not in (column, *new.names)]
+    kept = [f for f in schema.fields if f.name not in (column, *new.names)]
     names = [f.name for f in kept]
     kinds = _arrow_types(new)
 
@@ -405,11 +415,11 @@ def pages_of(files: DataFrame, column: str = "media") -> DataFrame:
             own, rows, size = [], [], 0
 
             def made():
-                columns = [c.take(pa.array(own)) for c in batch.columns[:-1]]
+                columns = [batch.column(n).take(pa.array(own)) for n in names]
                 return pa.RecordBatch.from_arrays([*columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[*names, *new.names])
 
             for k in range(batch.num_rows):
-                for row in rows_of(batch.column(len(names))[k].as_py() or b""):
+                for row in rows_of(batch.column(column)[k].as_py() or b""):
                     own.append(k)
                     rows.append(row)
                     size += len(row[7] or b"")
@@ -419,16 +429,13 @@ def pages_of(files: DataFrame, column: str = "media") -> DataFrame:
             if rows:
                 yield made()
 
-    return files.select(*names, column).mapInArrow(run, T.StructType(kept + new.fields))
+    return Step(run, [*names, column], T.StructType(kept + new.fields))
 
 
-def joined(pages: DataFrame) -> DataFrame:
-    """The other columns of ``pages_of``, once a file, with payload_bytes, payload_sha256,
-    tail_crc32, n_pages, feature and error of its pages' samples. Reads pages as ``pages_of``
-    leaves them: a file's own stand one after another in one task."""
+def joining(schema: T.StructType) -> Step:
     old = T._parse_datatype_string(PAGE_FIELDS).names
     new = T._parse_datatype_string("payload_bytes long, payload_sha256 string, tail_crc32 long, n_pages long, feature string, error string")
-    kept = [f for f in pages.schema.fields if f.name not in (*old, *new.names)]
+    kept = [f for f in schema.fields if f.name not in (*old, *new.names)]
     names, kinds = [f.name for f in kept], _arrow_types(new)
 
     def run(batches):
@@ -440,20 +447,33 @@ def joined(pages: DataFrame) -> DataFrame:
 
         ready: list[pa.RecordBatch] = []
         for batch in batches:
-            at = {n: batch.schema.get_field_index(n) for n in ("page", "pixels", "error")}
-            for k, page in enumerate(batch.column(at["page"]).to_pylist()):
+            pixels, errors = batch.column("pixels"), batch.column("error")
+            for k, page in enumerate(batch.column("page").to_pylist()):
                 if page == 0:
                     if first is not None:
                         ready.append(made())
                     first, file = batch.select(names).slice(k, 1), Samples()
-                file.add(batch.column(at["pixels"])[k].as_py(), batch.column(at["error"])[k].as_py())
+                file.add(pixels[k].as_py(), errors[k].as_py())
             if ready:
                 yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
                 ready = []
         if first is not None:
             yield made()
 
-    return pages.select(*names, "page", "pixels", "error").mapInArrow(run, T.StructType(kept + new.fields))
+    return Step(run, [*names, "page", "pixels", "error"], T.StructType(kept + new.fields))
+
+
+def pages_of(files: DataFrame, column: str = "media") -> DataFrame:
+    """One row for each page of the TIFF file in a binary column, in their order; other
+    columns repeat, the file itself is left out."""
+    return paging(files.schema, column).of(files)
+
+
+def joined(pages: DataFrame) -> DataFrame:
+    """The other columns of ``pages_of``, once a file, with payload_bytes, payload_sha256,
+    tail_crc32, n_pages, feature and error of its pages' samples. Reads pages as ``pages_of``
+    leaves them: a file's own stand one after another in one task."""
+    return joining(pages.schema).of(pages)
 
 
 class Samples:
@@ -485,22 +505,47 @@ def _arrow_types(schema: T.StructType) -> list[pa.DataType]:
     return [f.type for f in to_arrow_schema(schema)]
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """docs with the text stored as TIFF: n_bytes, media, media_bytes, media_sha256."""
+def storing(schema: T.StructType) -> Step:
+    new = T._parse_datatype_string("n_bytes long, media binary, media_bytes long, media_sha256 string")
+    kept = [f for f in schema.fields if f.name not in new.names]
+    names, kinds = [f.name for f in kept], _arrow_types(new)
+
+    def run(batches):
+        for batch in batches:
+            first, rows, size = 0, [], 0
+
+            def made():
+                columns = batch.slice(first, len(rows)).columns
+                return pa.RecordBatch.from_arrays([*columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[*names, *new.names])
+
+            for k, text in enumerate(batch.column("text"), 1):
+                n, payload = text_payload(text.as_py())
+                media = text_tiff(payload)
+                rows.append((n, media, len(media), hashlib.sha256(media).hexdigest()))
+                size += len(media)
+                if size > BATCH:
+                    yield made()
+                    first, rows, size = k, [], 0
+            if rows:
+                yield made()
+
+    return Step(run, names, T.StructType(kept + new.fields))
 
-    def make(texts):
-        out = [[] for _ in range(4)]
-        for text in texts:
-            n, payload = text_payload(text.as_py())
-            media = text_tiff(payload)
-            for column, value in zip(out, (n, media, len(media), hashlib.sha256(media).hexdigest()), strict=True):
-                column.append(value)
-        return out
 
-    return add_columns(docs, make, "n_bytes long, media binary, media_bytes long, media_sha256 string", ["text"])
+def stored(docs: DataFrame) -> DataFrame:
+    """docs with the text stored as TIFF: n_bytes, media, media_bytes, media_sha256."""
+    return storing(docs.schema).of(docs)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """docs without text, with the digests of the text stored as TIFF and read back page by
-    page: n_bytes, media_bytes, media_sha256 and the columns of ``joined``."""
-    return joined(pages_of(stored(docs).drop("text")))
+    page: n_bytes, media_bytes, media_sha256 and the columns of ``joined``. The three steps
+    are those of ``stored``, ``pages_of`` and ``joined``, one after another in one worker."""
+    store = storing(docs.schema)
+    page = paging(T.StructType([f for f in store.schema.fields if f.name != "text"]), "media")
+    join = joining(page.schema)
+
+    def run(batches):
+        return join.run(page.run(store.run(batches)))
+
+    return Step(run, store.reads, join.schema).of(docs)
