@@ -106,7 +106,7 @@ def plan_splits(sessions: DataFrame, val: float = 0.15, test: float = 0.15, seed
 
 def assign(frames: DataFrame, plan: DataFrame, session: str) -> DataFrame:
     """frames with the split of their session; without one, ``unassigned``."""
-    own = F.broadcast(plan.withColumnRenamed("session_id", session))
+    own = plan.withColumnRenamed("session_id", session)
     return frames.join(own, session, "left").withColumn("split", F.coalesce("split", F.lit("unassigned")))
 
 

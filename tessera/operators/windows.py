@@ -82,15 +82,24 @@ def numbered(rows: DataFrame, order: Sequence[Column | str], name: str, by: Sequ
 def quantiles(rows: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], kind: str = "linear", name: str = "q") -> DataFrame:
     """keys and ``name``, an array of the exact quantiles of a group's non-null values: at
     place share * (n - 1), interpolated (linear) or cut to a whole place (floor), or at
-    min(n - 1, int(share * n)) (rank). Groups without a value have no row."""
+    min(n - 1, int(share * n)) (rank). Groups without a value have no row. Equal values are
+    counted first; then ranges of values, and only those that hold a wanted place."""
     keys = list(keys)
-    placed = numbered(rows.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null"), ["_v"], "_k", by=keys, total="_n")
+    counted = rows.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    parts = ranged(counted, [*keys, "_v"])
+    sizes = parts.groupBy("_place_range", *keys).agg(F.sum("_c").alias("_in"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_in").over(before_range(keys)), F.lit(0))).withColumn("_n", F.sum("_in").over(Window.partitionBy(*keys)))
     at = [F.least(F.col("_n") - 1, F.floor(F.lit(float(s)) * F.col("_n"))).cast("double") if kind == "rank" else F.lit(float(s)) * (F.col("_n") - 1) for s in shares]
-    k, low = F.col("_k") - 1, [F.floor(x) for x in at]
-    high = [F.ceil(x) for x in at] if kind == "linear" else low
-    ends = [F.max(F.when(k == x, F.col("_v"))) for pair in zip(low, high, strict=True) for x in pair]
-    wanted = placed.filter(k.isin(*low, *high))
-    found = wanted.groupBy(*keys).agg(F.first("_n").alias("_n"), *[e.alias(f"_e{i}") for i, e in enumerate(ends)])
+    low = [F.floor(x) for x in at]
+    places = [x for i in range(len(shares)) for x in (low[i], F.ceil(at[i]) if kind == "linear" else low[i])]
+    # only ranges that hold a wanted place are looked into
+    sizes = sizes.filter(F.exists(F.array(*places), lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("_in"))))
+    sizes = sizes.withColumnsRenamed({k: f"_place_{k}" for k in keys}).withColumnRenamed("_place_range", "_place_of")
+    same = [parts._place_range == sizes._place_of, *(parts[k].eqNullSafe(sizes[f"_place_{k}"]) for k in keys)]
+    inside = Window.partitionBy("_place_range", *keys).orderBy("_place_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wanted = parts.join(sizes, same).withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+    ends = [F.max(F.when((k < F.col("_upto")) & (k >= F.col("_upto") - F.col("_c")), F.col("_v"))).alias(f"_e{i}") for i, k in enumerate(places)]
+    found = wanted.groupBy(*keys).agg(F.first("_n").alias("_n"), *ends)
     between = lambda i: F.col(f"_e{2 * i}") + (F.col(f"_e{2 * i + 1}") - F.col(f"_e{2 * i}")) * (at[i] - low[i])
     values = [between(i) if kind == "linear" else F.col(f"_e{2 * i}") for i in range(len(shares))]
     return found.select(*keys, F.array(*values).alias(name))

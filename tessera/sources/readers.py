@@ -134,7 +134,7 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
     images = doc.select("_doc", F.explode("images").alias("i")).select("_doc", F.col("i.id").alias("image_id"), F.regexp_extract("i.file_name", r"([^/\\]*)$", 1).alias("file_name"), F.col("i.width").alias("width"), F.col("i.height").alias("height"))
     names = doc.select("_doc", F.explode("categories").alias("c")).select("_doc", F.col("c.id").alias("category_id"), F.col("c.name").alias("category"))
     notes = doc.select("_doc", F.posexplode("annotations").alias("k", "a")).select("_doc", "k", "a.*")
-    out = notes.join(images, ["_doc", "image_id"]).join(F.broadcast(names), ["_doc", "category_id"], "left")
+    out = notes.join(images, ["_doc", "image_id"]).join(names, ["_doc", "category_id"], "left")
     return out.withColumn("category", F.coalesce("category", F.col("category_id").cast("string"))).drop("_doc")
 
 
