@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise
+from tessera.llm.common import TextsOf, discard, materialise
 
 WINDOW = 13
 SHARD_WORDS = 1_000_000
@@ -38,14 +38,26 @@ BLOCK_BYTES = 4 << 20
 FOUND_BYTES = 32 << 20
 #: Letters A-Z become a-z, other ASCII but digits and letters becomes a space.
 FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Bytes of words become 1, others 0.
+IN_WORD = bytes(c != 32 for c in FOLD)
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
+def n_words_of(text: str | None) -> int:
+    """How many words ``words_of`` finds, counted by where they begin."""
+    return (b" " + (text or "").encode("utf-8", "surrogatepass")).translate(IN_WORD).count(b"\0\1")
+
+
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    """``n_words_of`` as a column; Spark's regexp_count makes an object of every word."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array(map(n_words_of, TextsOf(texts)), pa.int64())
+
+    return F.arrow_udf(count, "long")(text)
 
 
 def columns(words: np.ndarray, at: np.ndarray, depth: int, bits: int) -> list[np.ndarray]:
@@ -127,16 +139,18 @@ def within(column: np.ndarray, value: np.ndarray, low: np.ndarray, high: np.ndar
 @dataclass
 class Shard:
     """Runs of vocabulary words, 0 after each, and their sorted suffixes. Run k begins at
-    begin[k] and is found in document doc[k] from its word at[k] on; keys: the documents."""
+    begin[k] and is found in document doc[k] from its word at[k] on; keys: the documents, of
+    n_words words each."""
 
     words: np.ndarray
     suffixes: np.ndarray
     begin: np.ndarray
     doc: np.ndarray
     at: np.ndarray
+    n_words: np.ndarray
     keys: list[bytes]
 
-    NUMBERS = ("words", "suffixes", "begin", "doc", "at")
+    NUMBERS = ("words", "suffixes", "begin", "doc", "at", "n_words")
 
     @classmethod
     def of(cls, keys: list[bytes], docs: list[np.ndarray], least: int, depth: int, bits: int) -> Shard:
@@ -157,7 +171,7 @@ class Shard:
         suffixes = np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         padded = np.concatenate([words, np.zeros(depth, np.int64)])
         order = np.lexsort(columns(padded, suffixes, depth, bits)[::-1]) if len(suffixes) else np.zeros(0, np.int64)
-        return cls(words.astype(np.int32), suffixes[order].astype(np.int32), begin.astype(np.int32), at.astype(np.int32), (start - first[doc]).astype(np.int32), [keys[k] for k in held])
+        return cls(words.astype(np.int32), suffixes[order].astype(np.int32), begin.astype(np.int32), at.astype(np.int32), (start - first[doc]).astype(np.int32), length[held].astype(np.int32), [keys[k] for k in held])
 
     def places(self, tests: Tests) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """For each window length: the index of the window and the position, for each place
@@ -178,8 +192,8 @@ class Shard:
         return out
 
     def search(self, tests: Tests) -> list[tuple]:
-        """(key, hit word positions, items, length, item and position of the longest match)
-        of each document with an occurrence."""
+        """(key, number of words, hit word positions, items, length, item and position of the
+        longest match) of each document with an occurrence."""
         hits: dict[int, list] = {}
         items: dict[int, list] = {}
         longest: dict[int, tuple] = {}
@@ -209,7 +223,7 @@ class Shard:
             doc, word = self.doc[run], self.at[run] + at - self.begin[run]
             for d, part in zip(*split(doc, word), strict=True):
                 hits[d] = part
-        return [(self.keys[d], hits[d].tolist(), sorted({tests.ids[i] for i in items[d]}), *longest[d]) for d in sorted(hits)]
+        return [(self.keys[d], int(self.n_words[d]), hits[d].tolist(), sorted({tests.ids[i] for i in items[d]}), *longest[d]) for d in sorted(hits)]
 
 
 def split(key: np.ndarray, value: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -255,11 +269,11 @@ def shards(docs: DataFrame, vocabulary, least: int, depth: int) -> DataFrame:
 
 
 def found_in(table: DataFrame, tests: Tests) -> tuple[DataFrame, object]:
-    """(key, hits, items, longest) of the documents in the shards that the block meets, and
-    the broadcast that holds the block."""
+    """(key, n_words, hits, items, longest) of the documents in the shards that the block
+    meets, and the broadcast that holds the block."""
     sent = table.sparkSession.sparkContext.broadcast(tests)
-    kinds = [pa.binary(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
-    names = ["key", "hits", "items", "length", "item", "at"]
+    kinds = [pa.binary(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.int32(), pa.string(), pa.int32()]
+    names = ["key", "n_words", "hits", "items", "length", "item", "at"]
 
     def run(batches):
         for batch in batches:
@@ -269,12 +283,12 @@ def found_in(table: DataFrame, tests: Tests) -> tuple[DataFrame, object]:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
-    return table.mapInArrow(run, "key binary, hits array<int>, items array<string>, length int, item string, at int"), sent
+    return table.mapInArrow(run, "key binary, n_words int, hits array<int>, items array<string>, length int, item string, at int"), sent
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """key (digest of the text), hits, items and the longest match, for each distinct text of
-    docs in which a window of the benchmark occurs."""
+    """key (digest of the text), n_words, hits, items and the longest match, for each distinct
+    text of docs in which a window of the benchmark occurs."""
     spark = docs.sparkSession
 
     def words_in(batches):
@@ -284,7 +298,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataF
 
     vocabulary = benchmark.select("text").mapInArrow(words_in, "word binary").distinct().toArrow()["word"].to_pylist()
     vocabulary = {w: k for k, w in enumerate(sorted(vocabulary), 1)}
-    sizes = benchmark.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min(F.when(word_count(F.col("text")) > 0, word_count(F.col("text")))).alias("least")).first()
+    sizes = benchmark.select(F.octet_length("text").alias("bytes"), word_count(F.col("text")).alias("n"))
+    sizes = sizes.agg(F.sum("bytes").alias("bytes"), F.min(F.when(F.col("n") > 0, F.col("n"))).alias("least")).first()
     blocks = -(-(sizes["bytes"] or 0) // BLOCK_BYTES) or 1
     rows = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     rows = materialise(rows, "tests", by=("block",))
@@ -300,9 +315,9 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataF
         out = one if out is None else out.unionByName(one)
     discard(table)
     best = F.max(F.struct("length", "item", "at"))
-    texts = out.groupBy("key", "hits", "items").agg(best.alias("longest")) if blocks > 1 else out.groupBy("key").agg(F.first("hits").alias("hits"), F.first("items").alias("items"), best.alias("longest"))
+    texts = out.groupBy("key", "n_words", "hits", "items").agg(best.alias("longest")) if blocks > 1 else out.groupBy("key", "n_words").agg(F.first("hits").alias("hits"), F.first("items").alias("items"), best.alias("longest"))
     if blocks > 1:
-        texts = texts.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+        texts = texts.groupBy("key", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
     return texts
 
 
@@ -312,9 +327,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     found = materialise(occurrences(docs, benchmark, n), "contaminated")
     found = found.select(F.col("key").alias("_key"), F.col("hits").alias("_hits"), F.col("items").alias("_items"), F.col("longest").alias("_longest"))
     size = found.agg(F.sum(64 + 4 * F.size("_hits") + F.length(F.array_join("_items", ",")) * 2)).first()[0] or 0
-    rows = docs.withColumn("_key", digest(F.col("text"))).join(F.broadcast(found) if size <= FOUND_BYTES else found, "_key", "left")
+    rows = docs.withColumns({"n_words": word_count(F.col("text")), "_key": digest(F.col("text"))}).join(F.broadcast(found) if size <= FOUND_BYTES else found, "_key", "left")
     n_hit = F.coalesce(F.size("_hits"), F.lit(0)).cast("long")
-    rows = rows.withColumn("n_words", word_count(F.col("text"))).withColumn("contaminated", F.col("_hits").isNotNull() & (20 * n_hit >= F.col("n_words")))
+    rows = rows.withColumn("contaminated", F.col("_hits").isNotNull() & (20 * n_hit >= F.col("n_words")))
     none = lambda kind: F.array().cast(kind)
     rows = rows.withColumns({"hits": F.coalesce("_hits", none("array<int>")), "items": F.coalesce("_items", none("array<string>")), "longest": F.coalesce("_longest.length", F.lit(0)), "longest_item": F.col("_longest.item"), "longest_at": F.col("_longest.at")})
     return rows.drop("_key", "_hits", "_items", "_longest")
@@ -322,11 +337,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents of docs that aren't contaminated, with the columns of docs."""
-    found = occurrences(docs, benchmark, n).select(F.col("key").alias("_key"), F.size("hits").cast("long").alias("_n"))
-    found = materialise(found, "contaminated")
+    found = occurrences(docs, benchmark, n).filter(20 * F.size("hits").cast("long") >= F.col("n_words"))
+    found = materialise(found.select(F.col("key").alias("_key")), "contaminated")
     rows = docs.withColumn("_key", digest(F.col("text")))
-    rows = rows.join(F.broadcast(found) if 64 * found.count() <= FOUND_BYTES else found, "_key", "left")
-    return rows.filter(F.col("_n").isNull() | (20 * F.col("_n") < word_count(F.col("text")))).select(*docs.columns)
+    rows = rows.join(F.broadcast(found) if 64 * found.count() <= FOUND_BYTES else found, "_key", "left_anti")
+    return rows.select(*docs.columns)
 
 
 ORACLE_SQL = r"""
