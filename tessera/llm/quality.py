@@ -34,6 +34,9 @@ from tessera.llm.common import add_columns, materialise, maybe_broadcast
 
 HEADS = ("quality", "toxic")
 SAMPLE_DOCS = 20_000
+#: The sample and its words are bounded, and so are the files that hold them, however many
+#: partitions the documents have: on a local file system each file costs processes for its rights.
+SAMPLE_PARTS = 48
 MOST_WORDS, LEAST_DOCS, LEAST_RATIO = 20_000, 4, 20.0
 BINS, RIDGE, ROUNDS = 8, 1.0, 30
 WORD = re.compile(r"[^\W\d_]+")
@@ -136,7 +139,7 @@ def fit(docs: DataFrame, known: DataFrame) -> Classifier | None:
     n = known.count()
     share = min(1.0, SAMPLE_DOCS / max(1, n))
     picked = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= min(int(share * 2**63), 2**63 - 1))
-    sample = materialise(docs.select("doc_id", "text").join(maybe_broadcast(picked, int(n * share)), "doc_id").select("text", *[f"label_{h}" for h in HEADS]), "quality-sample")
+    sample = materialise(docs.select("doc_id", "text").join(maybe_broadcast(picked, int(n * share)), "doc_id").select("text", *[f"label_{h}" for h in HEADS]).repartition(SAMPLE_PARTS), "quality-sample")
     schema = pa.schema([("word", pa.string()), *[(f"label_{h}", pa.float64()) for h in HEADS]])
 
     def distinct_words(batches):
@@ -145,7 +148,7 @@ def fit(docs: DataFrame, known: DataFrame) -> Classifier | None:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], schema.types[k]) for k in range(len(schema))], schema=schema)
 
     counts = sample.mapInArrow(distinct_words, "word string, " + ", ".join(f"label_{h} double" for h in HEADS)).groupBy("word")
-    counts = materialise(counts.agg(*[F.sum((F.col(f"label_{h}") >= 0.5).cast("long")).alias(f"{h}_1") for h in HEADS], *[F.sum((F.col(f"label_{h}") < 0.5).cast("long")).alias(f"{h}_0") for h in HEADS]), "quality-words")
+    counts = materialise(counts.agg(*[F.sum((F.col(f"label_{h}") >= 0.5).cast("long")).alias(f"{h}_1") for h in HEADS], *[F.sum((F.col(f"label_{h}") < 0.5).cast("long")).alias(f"{h}_0") for h in HEADS]).coalesce(SAMPLE_PARTS), "quality-words")
     totals = sample.agg(*[F.sum((F.col(f"label_{h}") >= 0.5).cast("long")).alias(f"{h}_1") for h in HEADS], *[F.sum((F.col(f"label_{h}") < 0.5).cast("long")).alias(f"{h}_0") for h in HEADS]).first()
     tables = []
     for h in HEADS:
@@ -211,7 +214,7 @@ def posteriors(rows: DataFrame, head: str) -> tuple[DataFrame, DataFrame, dict]:
 def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """For each row of docs (doc_id, text): per label the classifier's probability, the
     host's and path's posterior without this document, and the final probability; keep."""
-    known = materialise(clean_labels(labels), "labels")
+    known = clean_labels(labels)
     docs = docs.select("doc_id", "text", F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
     model = fit(docs, known)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -138,3 +138,25 @@ def test_the_sample_keeps_its_bound(spark, monkeypatch):
     monkeypatch.setattr(quality, "materialise", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
     assert len(run(spark, docs, labels)) == len(docs)
     assert 50 < dict(seen)["quality-sample"].count() < 150
+
+
+def test_bounded_tables_have_bounded_files(spark, monkeypatch):
+    """However many partitions documents and shuffles have; labels need no table of their own."""
+    docs, labels = corpus()
+    monkeypatch.setattr(quality, "SAMPLE_PARTS", 3)
+    seen = []
+    keep = quality.materialise
+    monkeypatch.setattr(quality, "materialise", lambda df, name: seen.append((name, keep(df, name))) or seen[-1][1])
+    held = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        many = spark.createDataFrame(docs, DOCS).repartition(40)
+        rows = quality.judge(many, spark.createDataFrame(labels, LABELS), F.col("host"), F.col("path")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(rows) == len(docs) and "labels" not in dict(seen)
+    assert dict(seen)["quality-sample"].count() == len(labels)
+    assert all(len(dict(seen)[name].inputFiles()) <= 3 for name in ("quality-sample", "quality-words"))
